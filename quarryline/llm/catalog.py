@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import lookalikes, mixing, parsing, splitting, tokenizing
+from quarryline.llm import credentials, lookalikes, mixing, parsing, splitting, tokenizing
 from quarryline.session import checkpointed
 from quarryline.sources.tables import table
 
@@ -29,6 +29,14 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return parsing.broken_rates(table(spark, d, "source_files"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credential_lines(table(spark, d, "source_files"))
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted_files(table(spark, d, "source_files"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, d, "documents"))
 
@@ -51,7 +59,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = {
-    "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_files": p4_files, "p4_rates": p4_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_files": p4_files, "p4_rates": p4_rates, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_classes": p9_classes,
 }
 
