@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import credentials, lookalikes, mixing, parsing, splitting, tokenizing
+from quarryline.llm import credentials, lookalikes, mixing, parsing, provenance, splitting, tokenizing
 from quarryline.session import checkpointed
 from quarryline.sources.tables import table
 
@@ -17,6 +17,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).where("piece = 1").select("file_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, d, "source_files")).select("file_id")
+
+
+def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, d, "source_files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return parsing.broken_files(table(spark, d, "source_files")).select("file_id")
 
@@ -59,7 +67,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = {
-    "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_files": p4_files, "p4_rates": p4_rates, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_files": p4_files, "p4_rates": p4_rates, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_classes": p9_classes,
 }
 

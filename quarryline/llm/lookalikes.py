@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters of other scripts, and punctuation, that are drawn like the character below them.
 LOOKALIKES = [
@@ -94,7 +95,7 @@ def consistent(text: str | None) -> str | None:
 
 
 def _udf(f):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([f(t) for t in texts], dtype="object")
