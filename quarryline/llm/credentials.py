@@ -207,7 +207,7 @@ def _value(r: random.Random, words: list[str]) -> str:
             lambda: "AKIA" + pick(alnum[:26] + "0123456789", 16), lambda: "AIza" + pick(alnum + "-_", 35), lambda: "gh" + r.choice("pos") + "_" + pick(alnum, 36),
             lambda: "sk_live_" + pick(alnum, 24), lambda: "xoxb-" + pick("0123456789", 11) + "-" + pick(alnum, 24), lambda: "eyJhbGciOiJIUzI1NiJ9.eyJ" + pick(alnum + "-_", 40) + "." + pick(alnum + "-_", 43),
             lambda: "pvs_" + pick(low, 32), lambda: pick("0123456789abcdef", r.choice([32, 40])), lambda: pick(low, r.choice([10, 14, 16, 20])), lambda: pick(alnum, r.choice([10, 12, 16, 24])),
-            lambda: pick(alnum + "+/", 40), lambda: pick(alnum, 28) + r.choice(["=", "==", ""]), lambda: pick(alnum, 6) + r.choice("!#%*+-_~") + pick(alnum, 7),
+            lambda: pick(alnum + "+/", 40), lambda: pick(alnum + "+//", 40), lambda: pick(alnum, 28) + r.choice(["=", "==", ""]), lambda: pick(alnum, 6) + r.choice("!#%*+-_~") + pick(alnum, 7),
             lambda: cap() + r.choice("!#%*_-") + cap() + pick("0123456789", 2), lambda: cap() + cap() + pick("0123456789", 2), lambda: "-".join(r.choice(words) for _ in range(3)) + "-" + pick("0123456789", r.choice([2, 4])),
         ])()
         if re.search(r"\d", v) or len(v) > 20:
