@@ -36,15 +36,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_left_join(left: DataFrame, right: DataFrame, on: list[str], row_id: str, share: float = 0.002, most: int = 64) -> DataFrame:
+def spread_left_join(left: DataFrame, right: DataFrame, on: list[str], row_id: str, share: float = 0.002, most: int = 64, counts: DataFrame | None = None) -> DataFrame:
     """Left outer join to a side with one row per key that splits hot keys of the left side.
 
     A key is hot when it holds more than ``share`` of the left rows, so there are at most ``1 / share`` hot keys and
     the list that is sent to every task is bounded whatever the input. The rows of a hot key are spread over up to
     ``most`` salts by the hash of ``row_id`` and only the hot keys of the right side are repeated.
-    Null keys match nothing and are spread by ``row_id`` as well. Key columns must not be called ``_salt``/``_ways``.
+    ``counts`` may give rows per key (*on, _n) where they are known already. Null keys match nothing. Key columns must
+    not be called ``_salt`` or ``_ways``.
     """
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
     hot = (
         counts.crossJoin(F.broadcast(total))  # one row
