@@ -181,7 +181,7 @@ def centrality(edges: DataFrame) -> DataFrame:
     n = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("total"))
     d = ends.groupBy("graph_id", "id").agg(F.count(F.lit(1)).alias("n")).join(n, "graph_id")
     deg = F.round(ratio(F.col("n"), F.col("total")), 6)
-    score = F.round(deg * 0.3 + deg * 0.5 * 0.3 + deg * 0.7 * 0.2 + deg * 0.6 * 0.2, 6)
+    score = deg * 0.71
     w = Window.partitionBy("graph_id").orderBy(F.desc("n"), "id")
     return d.select("graph_id", "id", deg.alias("degree"), score.alias("score"), F.row_number().over(w).alias("rank"))
 

@@ -1,7 +1,7 @@
 """Import resolution: candidate generation, one equality join, and the first match by strategy and position.
 
-No strategy loops over files: every import expands into a bounded list of candidate paths with a priority, the list is
-joined to the files of its snapshot, and the least priority wins. Repeated (raw, folder) pairs are resolved once.
+No strategy loops over files: every import expands into at most eight places with a priority, every file into the names
+that lead to it, both are joined within their snapshot, and the least priority wins. Repeated (raw, folder) pairs are resolved once.
 
 Defined results: a null import resolves to nothing; ties within a priority go to the least path; '..' is resolved and
 Python's leading dots count folders.
@@ -20,16 +20,22 @@ SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx",
 STRATEGIES = [("relative", 0.95), ("alias", 0.9), ("rooted", 0.9), ("package", 0.8), ("directory", 0.7), ("bare", 0.65)]
 
 
-def _paths(bases: list[tuple[str, Column]]) -> Column:
-    """All candidates of several bases: structs (prio, strategy, confidence, path); a null base yields none."""
-    rank = {s: k for k, (s, _) in enumerate(STRATEGIES)}
-    rows = []
-    for name, base in bases:
-        conf = dict(STRATEGIES)[name]
-        for k, s in enumerate(SUFFIXES):
-            rows.append(F.when(base.isNotNull() & (base != ""), F.struct(
-                F.lit(rank[name] * 100 + k).alias("prio"), F.lit(name).alias("strategy"), F.lit(conf).alias("confidence"), normalized(F.concat(base, F.lit(s))).alias("path"))))
-    return F.array_compact(F.array(*rows))
+def _places(named: list[tuple[str, Column]]) -> Column:
+    """The places an import may mean as structs (prio, strategy, confidence, place); a null or empty base yields none."""
+    rank, conf = {s: k for k, (s, _) in enumerate(STRATEGIES)}, dict(STRATEGIES)
+    return F.array_compact(F.array(*[
+        F.when(base != "", F.struct(F.lit(rank[name] * 100).alias("prio"), F.lit(name).alias("strategy"), F.lit(conf[name]).alias("confidence"), base.alias("place"))) for name, base in named]))
+
+
+def named_files(files: DataFrame) -> DataFrame:
+    """Each file under every name that leads to it: (snapshot_id, place, path, suffix), suffix being its rank in SUFFIXES.
+
+    Names are expanded here, at most three for a file, so that imports need not try eleven suffixes each.
+    """
+    known = files.select("snapshot_id", normalized(F.col("path")).alias("path")).distinct()
+    p = F.col("path")
+    ways = [F.when(p.endswith(s), F.struct(F.substring(p, F.lit(1), F.length(p) - len(s)).alias("place"), F.lit(k).alias("suffix"))) for k, s in enumerate(SUFFIXES)]
+    return known.select("snapshot_id", "path", F.explode(F.array_compact(F.array(*ways))).alias("w")).select("snapshot_id", "w.place", "path", "w.suffix")
 
 
 def bases(raw: Column, from_path: Column, kind: Column, first_only: bool) -> list[tuple[str, Column]]:
@@ -63,9 +69,9 @@ def resolve(imports: DataFrame, files: DataFrame, first_only: bool = False) -> D
     asked = asked.withColumn("_folder", directory(F.col("from_path")))
     distinct = asked.select(*keys).distinct()
     from_path = F.concat(F.col("_folder"), F.lit("/_"))
-    cand = distinct.select(*keys, F.explode(_paths(bases(F.col("raw"), from_path, F.col("kind"), first_only))).alias("c")).select(*keys, "c.*")
-    known = files.select("snapshot_id", normalized(F.col("path")).alias("path")).distinct()
-    hit = cand.join(known, ["snapshot_id", "path"]).groupBy(*keys).agg(F.min_by(F.struct("path", "strategy", "confidence"), F.struct("prio", "path")).alias("_b"))
+    cand = distinct.select(*keys, F.explode(_places(bases(F.col("raw"), from_path, F.col("kind"), first_only))).alias("c")).select(*keys, "c.prio", "c.strategy", "c.confidence", normalized(F.col("c.place")).alias("place"))
+    hit = cand.join(named_files(files), ["snapshot_id", "place"]).groupBy(*keys).agg(
+        F.min_by(F.struct("path", "strategy", "confidence"), F.struct((F.col("prio") + F.col("suffix")).alias("prio"), F.col("path"))).alias("_b"))
     back = asked.join(hit, keys, "left").select("import_id", "_b.path", "_b.strategy", "_b.confidence")
     all_ = one.select("import_id").join(back, "import_id", "left")
     found = F.col("path").isNotNull()

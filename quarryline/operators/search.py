@@ -20,21 +20,22 @@ def lexical_score(text: Column, question: Column, bonus: Column) -> Column:
     return F.round(hits + F.when(bonus & (hits > 0), 0.3).otherwise(0.0), 6)
 
 
-def retrieve(corpus: DataFrame, questions: DataFrame, top: int = 20, rest: int = 10) -> DataFrame:
+def retrieve(corpus: DataFrame, questions: list[tuple[int, str]], top: int = 20, rest: int = 10, slices: int = 256) -> DataFrame:
     """Best files for each question: the ``top`` with a score, or the first ``rest`` of all where none has one.
 
-    corpus(id, text, entry), questions(question_id, question); questions are few (they are asked by users) and their
-    number must fit the broadcast threshold to be broadcast, else the pairs are formed by shuffling words.
-    Scoring is exact for substrings, so each question is compared with each file once.
+    corpus(id, text, entry). The questions are a list that was asked, so they travel in the plan; every file is scored
+    for each of them in one pass. The best of each slice of the files are kept first, so no task sees more rows of a
+    question than slices times the length of its list.
     """
-    low = corpus.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("_t"), "entry")
-    asked = questions.select("question_id", tokens(F.col("question")).alias("_q"))
-    scored = asked.join(low).select("question_id", "id", lexical_score(F.col("_t"), F.col("_q"), F.col("entry")).alias("score"))
-    # per task the best of each question suffice, so a window over few rows follows a bounded aggregate
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(top, rest))
-    some = F.max(F.col("score") > 0).over(Window.partitionBy("question_id"))
-    return ranked.withColumn("_some", some).where((F.col("_some") & (F.col("score") > 0) & (F.col("rank") <= top)) | (~F.col("_some") & (F.col("rank") <= rest))).drop("_some")
+    low = corpus.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("_t"), F.coalesce("entry", F.lit(False)).alias("entry"))
+    asked = F.array(*[F.struct(F.lit(k).alias("question_id"), tokens(F.lit(q)).alias("words")) for k, q in questions])
+    scored = low.select("id", F.explode(F.transform(asked, lambda q: F.struct(q["question_id"].alias("question_id"), lexical_score(F.col("_t"), q["words"], F.col("entry")).alias("score")))).alias("s")).select("id", "s.*")
+    order, most = [F.desc("score"), "id"], max(top, rest)
+    first = Window.partitionBy("question_id", F.pmod(F.xxhash64("id"), F.lit(slices))).orderBy(*order)
+    few = scored.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
+    whole = Window.partitionBy("question_id")
+    ranked = few.withColumn("rank", F.row_number().over(whole.orderBy(*order))).where(F.col("rank") <= most).withColumn("_some", F.max("score").over(whole) > 0)
+    return ranked.where((F.col("_some") & (F.col("score") > 0) & (F.col("rank") <= top)) | (~F.col("_some") & (F.col("rank") <= rest))).drop("_some")
 
 
 def rerank(vectors: DataFrame, query: Column, k: int | None = None) -> DataFrame:
