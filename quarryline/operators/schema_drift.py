@@ -44,13 +44,20 @@ def ordered_artifacts(artifacts: DataFrame) -> DataFrame:
     return joined.select("r.artifact_id", "r.snapshot_id", "r.kind", "r.version", F.coalesce("r._before", "l._carry").alias("prev_id"))
 
 
-def cells(records: DataFrame) -> DataFrame:
-    """Every field of every readable record: (artifact_id, record_id, path, field, type, value); value is canonical JSON."""
-    v = F.try_parse_json("payload")
-    parsed = records.select("artifact_id", "record_id", v.alias("_v")).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
+def cells(records: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Every field of every readable record: (artifact_id, record_id, path, field, type, value); value is canonical JSON.
+
+    ``wanted`` (artifact_id, names array) restricts it to some fields of some artifacts before records are taken apart.
+    """
+    rows = records.select("artifact_id", "record_id", "payload")
+    if wanted is not None:
+        rows = rows.join(wanted.select("artifact_id", F.col("names").alias("_names")), "artifact_id")
+    parsed = rows.withColumn("_v", F.try_parse_json("payload")).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
     parsed = parsed.withColumn("path", F.try_variant_get("_v", "$.path", "string"))
     spark = records.sparkSession
     out = parsed.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+    if wanted is not None:
+        out = out.where(F.array_contains("_names", F.col("key")))
     kind = F.schema_of_variant("value")
     named = F.lit(None).cast("string")
     for name, plain in TYPE_NAMES.items():
@@ -67,8 +74,11 @@ def fingerprints(fields: DataFrame) -> DataFrame:
 
     A map holds the distinct field names of one artifact, which is the width of its schema and not its number of rows.
     """
-    one = fields.groupBy("artifact_id", "field").agg(F.max("type").alias("type"))
-    out = one.groupBy("artifact_id").agg(F.array_sort(F.collect_list(F.struct("field", "type"))).alias("_f"))
+    # a set of (field, type) holds each field at most once for each type and once without one
+    sets = fields.groupBy("artifact_id").agg(F.collect_set(F.struct("field", F.coalesce("type", F.lit("")).alias("type"))).alias("_s"))
+    last = lambda f: F.array_max(F.transform(F.filter("_s", lambda x: x["field"] == f), lambda x: x["type"]))
+    names = F.array_sort(F.array_distinct(F.transform("_s", lambda x: x["field"])))
+    out = sets.select("artifact_id", F.transform(names, lambda f: F.struct(f.alias("field"), F.nullif(last(f), F.lit("")).alias("type"))).alias("_f"))
     return out.select("artifact_id", F.map_from_entries("_f").alias("fields"), F.md5(F.to_json("_f")).alias("fingerprint"))
 
 
@@ -90,12 +100,13 @@ def migration_steps(artifacts: DataFrame, records: DataFrame) -> DataFrame:
     kept = F.array_intersect(F.map_keys("old"), F.map_keys("new"))
     pairs = pairs.select("artifact_id", "prev_id", "old", "new", gone.alias("gone"), come.alias("come"), kept.alias("kept"))
 
+    # values are read only of the fields that went or came, and only where both happened
     both = pairs.where("size(gone) > 0 and size(come) > 0")
-    values = seen.where("path is not null and value is not null and value <> 'null'").select("artifact_id", "path", "field", "value").distinct()
-    before = both.select("artifact_id", "prev_id", F.explode("gone").alias("old_field")).join(
-        values.select(F.col("artifact_id").alias("prev_id"), "path", F.col("field").alias("old_field"), F.col("value").alias("old_value")), ["prev_id", "old_field"])
-    after = both.select("artifact_id", F.explode("come").alias("field")).join(values, ["artifact_id", "field"]).select(
-        "artifact_id", "path", F.col("field").alias("new_field"), F.col("value").alias("new_value"))
+    seen_in = lambda w: cells(records, w).where("path is not null and value <> 'null'")
+    went = both.select(F.col("prev_id").alias("artifact_id"), F.col("gone").alias("names"))  # a version has one successor
+    before = seen_in(went).select(F.col("artifact_id").alias("prev_id"), "path", F.col("field").alias("old_field"), F.col("value").alias("old_value")).distinct()
+    before = before.join(both.select("artifact_id", "prev_id"), "prev_id")
+    after = seen_in(both.select("artifact_id", F.col("come").alias("names"))).select("artifact_id", "path", F.col("field").alias("new_field"), F.col("value").alias("new_value")).distinct()
     support = before.join(after, ["artifact_id", "path"]).groupBy("artifact_id", "old_field", "new_field").agg(
         F.count_if(F.col("old_value") == F.col("new_value")).alias("same"), F.count(F.lit(1)).alias("shared")
     ).where("same > 0 and same = shared")
