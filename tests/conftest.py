@@ -10,7 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from quarryline.session import local_session
 
-    session = local_session("4", 4)
+    session = local_session("4", 2)
+    session.conf.set("spark.sql.codegen.wholeStage", "false")  # small data: compiling would take longer than running
     yield session
     session.stop()
 
