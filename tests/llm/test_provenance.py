@@ -54,3 +54,30 @@ def test_bands_find_similar_sets():
         b = np.concatenate([a[:360], rng.integers(0, 1 << 62, 40, dtype=np.uint64)])  # similarity 0.82
         found += bool(set(P.bands(P.signature(a), 1)) & set(P.bands(P.signature(b), 1)))
     assert found >= 58
+
+
+def stub(i, k):
+    """A text whose form differs for each k and whose names differ for each i; no block repeats."""
+    ops = ["+", "-", "*", "%", "<", ">", "&", "|"]
+    return "".join(f"def n{i}_{j}(a{i}, b{i}):\n" + "".join(f"    c{i} = a{i} {ops[(j * 5 + k * 3 + x * x) % 8]} b{i}.v{i}{'[1]' * ((j + k + x) % 3)}\n" for x in range(3 + (j + k) % 4)) + f"    return c{i}{ops[(j + k) % 8]}{i}\n" for j in range(8))
+
+
+def test_a_family_of_one_repository_is_generated(spark):
+    d = P.describe(stub(1, 0), P._Tokens(), True)
+    assert d["all"] < 4 * len(d["form"])  # no block
+    local = [("a", f"f{i}.py", stub(i, 0)) for i in range(3)]
+    assert run(spark, *local) == {i: {"generated"} for i in range(3)}
+    assert run(spark, *local[:2]) == {}
+    # a form that another repository has as well
+    assert run(spark, *local, ("b", "g.py", stub(9, 0))) == {}
+
+
+def test_a_shared_band_alone_makes_no_family():
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 1 << 16, P.PERMUTATIONS).astype(np.uint16)
+    near, far = a.copy(), a.copy()
+    near[-10:] += 1
+    far[40:] += 1
+    rows = [x.tobytes() for x in (a, near, far)]
+    got = list(P._compare(np.array([5, 5, 5]), np.array([True, False, True]), np.array([1, 1, 1]), np.array([1, 2, 3]), rows))
+    assert got == [(0, False, [2]), (2, False, [])]
