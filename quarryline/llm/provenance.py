@@ -228,11 +228,12 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """(file_id, class_id) of files at least 0.8 similar to the representative of a class that spans repositories.
+    """(file_id, class_id) of files at least 0.8 similar to a file of another repository, or to its class across repositories.
 
     Only ids and band keys are shuffled to find the buckets. A bucket becomes its representative (least id), and only
     buckets with two repositories go on; signatures are fetched for the files of these alone, and every member is
-    compared with representatives only, so the work of a bucket of any size is linear.
+    compared with representatives first. Members without a copy after that ask all members of their buckets, so a link
+    is never lost because the representative is like neither end; such a file has itself as its class.
     """
     exploded = rows.select("file_id", F.xxhash64("repo_id").alias("_repo"), F.explode("text_bands").alias("band"))
     buckets = exploded.groupBy("band").agg(
@@ -245,7 +246,15 @@ def copies(rows: DataFrame) -> DataFrame:
     close = pairs.where((F.col("file_id") == F.col("class_id")) | (agreement("signature", "_s") >= SIMILAR)).select("file_id", "class_id", "_repo")
     close = checkpointed(close)
     spans = close.groupBy("class_id").agg(F.min("_repo").alias("_a"), F.max("_repo").alias("_b")).where("_a <> _b").select("class_id")
-    return close.join(spans, "class_id").groupBy("file_id").agg(F.min("class_id").alias("class_id"))
+    found = checkpointed(close.join(spans, "class_id").groupBy("file_id").agg(F.min("class_id").alias("class_id")))
+    # the representatives may be strangers to the rest: whoever has no copy yet asks all others of its buckets
+    text = rows.groupBy("file_id").agg(F.first(F.xxhash64("signature")).alias("text"))
+    asking = met.select("file_id").distinct().join(found, "file_id", "left_anti").withColumn("_ask", F.lit(True))
+    members = met.select("band", "file_id", F.col("_repo").alias("repo")).distinct().join(asking, "file_id", "left").join(text, "file_id")
+    members = members.select("band", "file_id", F.coalesce("_ask", F.lit(False)).alias("ask"), "repo", "text")
+    open_ = members.groupBy("band").agg(F.max("ask").alias("_any"), F.count(F.lit(1)).alias("_n")).where("_any and _n > 2").select("band")
+    late = near(members.join(open_, "band", "left_semi"), signed).where("elsewhere").select("file_id", F.col("file_id").alias("class_id"))
+    return found.unionByName(late.distinct())
 
 
 def _compare(keys: np.ndarray, ask: np.ndarray, repos: np.ndarray, texts: np.ndarray, signatures: list, foreign: float = SIMILAR) -> Iterator[tuple[int, bool, list]]:

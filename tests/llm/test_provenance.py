@@ -81,3 +81,16 @@ def test_a_shared_band_alone_makes_no_family():
     rows = [x.tobytes() for x in (a, near, far)]
     got = list(P._compare(np.array([5, 5, 5]), np.array([True, False, True]), np.array([1, 1, 1]), np.array([1, 2, 3]), rows))
     assert got == [(0, False, [2]), (2, False, [])]
+
+
+def test_copies_are_found_beside_a_stranger_in_their_bucket(spark):
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 1 << 16, P.PERMUTATIONS).astype(np.uint16)
+    stranger, b = a.copy(), a.copy()
+    stranger[60:] += 1  # shares bands with both and is like neither
+    b[-12:] += 1
+    sigs = [stranger, a, b]
+    keys = P.bands(a, 1)[:12]
+    rows = [(i, "ab"[i % 2], x.tobytes(), keys[:6]) for i, x in enumerate(sigs)]
+    f = spark.createDataFrame(rows, "file_id bigint, repo_id string, signature binary, text_bands array<bigint>")
+    assert {r.file_id for r in P.copies(f).collect()} == {1, 2}
