@@ -94,3 +94,11 @@ def test_copies_are_found_beside_a_stranger_in_their_bucket(spark):
     rows = [(i, "ab"[i % 2], x.tobytes(), keys[:6]) for i, x in enumerate(sigs)]
     f = spark.createDataFrame(rows, "file_id bigint, repo_id string, signature binary, text_bands array<bigint>")
     assert {r.file_id for r in P.copies(f).collect()} == {1, 2}
+
+
+def test_notices_count_wherever_they_stand(spark):
+    head = "".join(f"import m{i}\n" for i in range(40))
+    tool, notice = "# Code generated by stub. DO NOT EDIT.\n", "# Copyright the somelib authors\n"
+    speaks = 'HEADER = """\n' + tool + notice + '"""\n# we write: code generated by tools\n'
+    assert run(spark, ("a", "x.py", head + tool + HAND), ("a", "y.py", HAND + notice + HAND + HAND)) == {0: {"generated"}, 1: {"vendored"}}
+    assert run(spark, ("a", "z.py", head + speaks + HAND)) == {}
