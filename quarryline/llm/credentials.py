@@ -442,6 +442,10 @@ TRIGGERS = [
     "accesskey", "access_key", "access.key", "master_key", "masterkey", "client_key", "service_key", "account_key", "curl ", " -u ", "--user ", "hooks.", "://hooks", "akia", "asia", "aiza", "eyj", "xox", "ghp_", "gho_", "ghs_", "ghu_", "ghr_",
     "github_pat_", "glpat-", "sk_live_", "pk_live_", "rk_live_", "sk_test_", "npm_", "sg.", "pvs_", "whsec_", "dop_v1_", "hf_", "-----begin",
 ]
+TRIGGERS += sorted(({w + sep + "key" for w in KEY_WORDS for sep in ("", "_", "-", ".")} | {k + t for k in ("sk_", "pk_", "rk_") for t in ("live_", "test_")}) - set(TRIGGERS))
+#: How a line ends whose value begins on the next line, and how one begins that only looks so.
+_VALUE_BELOW = re.compile(r"[\w\"'`\]]\s*(?::=|[=:]|\|\||\?\?)\s*[(\\]?$")
+_NO_NAME = re.compile(r"\s*(?:\}\s*)?(?:if|elif|else|while|for|with|def|class|try|except|case|default|switch|lambda|async)\b")
 #: Triggers that count only where a word begins, in either case style.
 _WORDS = {"pass", "pwd", "secret", "token", "auth", "signing", "encryption", "asia", "sg.", "hf_", "eyj", "xox", "credential", "akia", "aiza"}
 _USERINFO = re.compile(r"://[^\s/\"'`@:]+:[^\s/\"'`@]+@")
@@ -458,8 +462,15 @@ def _automaton():
     return a
 
 
+def _below(lines: str) -> bool:
+    """Whether the value of the last name of these lines is on the next line; blank lines between them count."""
+    last = lines.rstrip()
+    last = last[last.rfind("\n") + 1 :]
+    return bool(_VALUE_BELOW.search(last[-200:])) and not _NO_NAME.match(last)
+
+
 def candidate_lines(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the lines with a trigger, in order."""
+    """(start, end) of the lines with a trigger, in order, each with the lines below it that hold the value of its name."""
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length; such texts are read in their own case and in capitals
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -479,6 +490,9 @@ def candidate_lines(text: str) -> list[tuple[int, int]]:
         start = text.rfind("\n", 0, at) + 1
         done = text.find("\n", at)
         done = len(text) if done < 0 else done
+        while done < len(text) and _below(text[start:done]):
+            done = text.find("\n", done + 1)
+            done = len(text) if done < 0 else done
         out.append((start, done))
         done += 1
     return out

@@ -62,3 +62,24 @@ def test_files(spark):
     masked = {r.file_id: r.text for r in C.redacted_files(f).collect()}
     assert masked[1] == "a\npassword = 'xxxxxxxxxxxxx'\r\n" and masked[2] is None and masked[3] == "" and set(masked) == {1, 2, 3, 4, 5}
     assert C.credential_lines(f.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["AccountKey", "licenseKey", "serviceKey", "x.account.key", "master-key", "access-key", "private-key", "LICENSE_KEY"])
+def test_every_name_of_a_key_is_read(field, name):
+    assert C.found_lines(f'a\n{name} = "Dm4xSf!MJNIg9"\nb', field) == [2]
+
+
+def test_no_name_that_the_model_knows_is_filtered_out():
+    names = [w + sep + "key" for w in C.KEY_WORDS for sep in ("", "_", "-", ".")] + [*C.SECRET_WORDS] + [f"{k}k_{t}_" for k in "spr" for t in ("live", "test")]
+    assert [n for n in names if not C.candidate_lines(f"{n}=1")] == []
+
+
+@pytest.mark.parametrize("text", ['password =\n  "Dm4xSf!MJNIg9"', 'const API_KEY =\n\n  "Dm4xSf!MJNIg9";', 'PASSWORD = (\n    "Dm4xSf!MJNIg9"\n)', 'PASSWORD = \\\n    "Dm4xSf!MJNIg9"'])
+def test_a_value_below_its_name(field, text):
+    line = text[: text.index("Dm4")].count("\n") + 1
+    assert C.found_lines(text, field) == [line]
+    assert "Dm4" not in C.redacted(text, field)
+
+
+def test_blocks_are_no_values(field):
+    assert C.found_lines('if token:\n    raise Gone("Dm4xSf!MJNIg9")\nelse:\n    return "Dm4xSf!MJNIg9"', field) == []
