@@ -44,6 +44,12 @@ def ordered_artifacts(artifacts: DataFrame) -> DataFrame:
     return joined.select("r.artifact_id", "r.snapshot_id", "r.kind", "r.version", F.coalesce("r._before", "l._carry").alias("prev_id"))
 
 
+def readable(records: DataFrame) -> DataFrame:
+    """The records whose payload is an object, with it as _v and its path."""
+    parsed = records.withColumn("_v", F.try_parse_json("payload")).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
+    return parsed.withColumn("path", F.try_variant_get("_v", "$.path", "string"))
+
+
 def cells(records: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Every field of every readable record: (artifact_id, record_id, path, field, type, value); value is canonical JSON.
 
@@ -52,8 +58,7 @@ def cells(records: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     rows = records.select("artifact_id", "record_id", "payload")
     if wanted is not None:
         rows = rows.join(wanted.select("artifact_id", F.col("names").alias("_names")), "artifact_id")
-    parsed = rows.withColumn("_v", F.try_parse_json("payload")).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
-    parsed = parsed.withColumn("path", F.try_variant_get("_v", "$.path", "string"))
+    parsed = readable(rows)
     spark = records.sparkSession
     out = parsed.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
     if wanted is not None:
@@ -134,7 +139,9 @@ def migration_steps(artifacts: DataFrame, records: DataFrame) -> DataFrame:
 def consistent_table(artifacts: DataFrame, records: DataFrame, steps: DataFrame) -> DataFrame:
     """All readable records in one table: (record_id, artifact_id, snapshot_id, kind, version, path, field, type, value, source_field).
 
-    Long form, one row per field of the last version of the record's chain. The names are canonical: renames between
+    Long form, one row per field of the last version of the record's chain; a field that the record lacks is null and
+    has no source_field. Records of unknown artifacts, or of artifacts without a version, have no chain and keep their
+    own fields; a record without any field keeps one row with a null field. The names are canonical: renames between
     the record's version and the last version are followed by pointer doubling, so the number of rounds is the
     logarithm of the longest chain. Values are cast to the field's last type where JSON allows it, else null with the
     type kept; fields that later versions removed keep their last name.
@@ -176,8 +183,22 @@ def consistent_table(artifacts: DataFrame, records: DataFrame, steps: DataFrame)
         .when((F.col("_type") == "boolean") & F.lower(bare).isin("true", "false"), F.lower(bare))
         .when(F.col("_type") == "array", F.concat(F.lit("["), F.col("value"), F.lit("]")))
     )
-    meta = chain.select("artifact_id", "snapshot_id", "kind", "version")
-    one = seen.join(final, ["artifact_id", "field"]).join(meta, "artifact_id")
-    return one.select(
-        "record_id", "artifact_id", "snapshot_id", "kind", "version", "path", F.col("_name").alias("field"),
-        F.coalesce("_type", "type").alias("type"), cast.alias("value"), F.col("field").alias("source_field"))
+    key = F.struct(F.col("version").isNull().alias("_n"), "snapshot_id", "kind", "version")
+    meta = artifacts.where("artifact_id is not null").groupBy("artifact_id").agg(F.min_by(F.struct("snapshot_id", "kind", "version"), key).alias("_m")).select("artifact_id", "_m.*")
+    one = seen.join(final, ["artifact_id", "field"], "left").select(
+        "record_id", "artifact_id", "path", F.coalesce("_name", "field").alias("field"), F.coalesce("_type", "type").alias("type"), cast.alias("value"), F.col("field").alias("source_field"))
+    # the fields of the chain's last version that a record lacks
+    last = chain.groupBy("snapshot_id", "kind").agg(F.max_by("artifact_id", F.struct("version", "artifact_id")).alias("_last"))
+    ends = chain.alias("c").join(last.alias("l"), F.col("c.snapshot_id").eqNullSafe(F.col("l.snapshot_id")) & F.col("c.kind").eqNullSafe(F.col("l.kind"))).select("c.artifact_id", "l._last")
+    shape = held.join(types, ["artifact_id", "field"], "left").select(F.col("artifact_id").alias("_last"), "field", "type")
+    wanted = ends.join(shape, "_last").drop("_last")
+    rows = readable(records.select("artifact_id", "record_id", "payload")).select("record_id", "artifact_id", "path").distinct()
+    lacking = rows.join(wanted, "artifact_id").join(one.select("record_id", "artifact_id", "field").distinct(), ["record_id", "artifact_id", "field"], "left_anti")
+    none = F.lit(None).cast("string")
+    lacking = lacking.select("record_id", "artifact_id", "path", "field", "type", none.alias("value"), none.alias("source_field"))
+    every = one.unionByName(lacking)
+    # a record without any field, where the last version has none either
+    empty = rows.join(every.select("record_id").distinct(), "record_id", "left_anti")
+    empty = empty.select("record_id", "artifact_id", "path", none.alias("field"), none.alias("type"), none.alias("value"), none.alias("source_field"))
+    return every.unionByName(empty).join(meta, "artifact_id", "left").select(
+        "record_id", "artifact_id", "snapshot_id", "kind", "version", "path", "field", "type", "value", "source_field")

@@ -58,3 +58,17 @@ def test_consistent_table_follows_renames_and_casts(spark):
     a, r = tables(spark, arts, recs)
     out = {(x.artifact_id, x.field): (x.type, x.value, x.source_field) for x in D.consistent_table(a, r, D.migration_steps(a, r)).collect()}
     assert out[("a1", "m")] == ("string", '"7"', "n") and out[("a2", "m")] == ("string", '"7"', "m") and out[("a3", "m")][1] == '"7"'
+
+
+def test_consistent_table_has_defaults_and_all_records(spark):
+    arts = [("a1", "s", None, 1), ("a2", "s", None, 2), ("b1", "s", "k", None)]
+    recs = [("a1", {"path": "p", "n": 7}), ("a2", {"path": "p", "n": 7, "late": True, "opt": "x"}), ("a2", {"path": "q", "n": 8, "late": False}), ("a1", {}), ("b1", {"v": 1}), ("gone", {"w": 2}), ("gone", {}), (None, {"z": 3})]
+    a, r = tables(spark, arts, recs)
+    rows = D.consistent_table(a, r, D.migration_steps(a, r)).collect()
+    out = {(x.record_id, x.field): (x.type, x.value, x.source_field) for x in rows}
+    assert len(out) == len(rows)
+    assert out[(0, "late")] == ("boolean", None, None) and out[(0, "opt")] == ("string", None, None) and out[(0, "n")] == ("number", "7", "n")
+    assert out[(2, "opt")] == ("string", None, None) and out[(2, "late")] == ("boolean", "false", "late")
+    assert {f for n, f in out if n == 3} == {"path", "n", "late", "opt"} and all(v[1:] == (None, None) for (n, _), v in out.items() if n == 3)
+    assert out[(4, "v")] == ("number", "1", "v") and out[(5, "w")] == ("number", "2", "w") and out[(6, None)] == (None, None, None) and out[(7, "z")] == ("number", "3", "z")
+    assert {(x.snapshot_id, x.kind, x.version) for x in rows if x.record_id < 4} == {("s", None, 1), ("s", None, 2)}
