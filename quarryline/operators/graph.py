@@ -135,20 +135,23 @@ def dependencies(edges: DataFrame, cap: int = 10) -> DataFrame:
     return few.groupBy("graph_id", "src").agg(pick(F.col("resolved")).alias("internal"), pick(~F.col("resolved")).alias("external"))
 
 
-def greedy_paths(edges: DataFrame, starts: DataFrame, guard: int = 64) -> DataFrame:
+def greedy_paths(edges: DataFrame, starts: DataFrame, guard: int = 1000) -> DataFrame:
     """From each start follow the first unvisited out-edge (least dst): (graph_id, start, step, id).
 
-    All walks advance together, one join per step; the loop ends when none moves or after ``guard`` steps.
+    All walks advance together, one join per step; the loop ends when none moves or when a walk has
+    ``guard`` nodes, the bound of the inventory (G05). Ended walks are gathered every few steps, so the plan stays small.
     """
     first = edges.where("src <> dst").select("graph_id", F.col("src").alias("at"), "dst").distinct()
     walks = starts.select("graph_id", F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path")).distinct()
     done = None
-    for _ in range(guard):
+    for n in range(1, guard):
         nxt = walks.join(first, ["graph_id", "at"]).where(~F.array_contains("path", F.col("dst"))).groupBy("graph_id", "start", "path").agg(F.min("dst").alias("_to"))
         step = walks.join(nxt, ["graph_id", "start", "path"], "left")
         step = checkpointed(step)
         ended = step.where("_to is null").select("graph_id", "start", "path")
         done = ended if done is None else done.unionByName(ended)
+        if n % 32 == 0:
+            done = checkpointed(done)
         walks = step.where("_to is not null").select("graph_id", "start", F.col("_to").alias("at"), F.concat("path", F.array("_to")).alias("path"))
         if walks.isEmpty():
             break

@@ -210,3 +210,12 @@ def test_versioned_artifacts(spark, tmp_path):
     assert sinks.read_artifact(spark, root, "r", "files", 1).collect() == df.collect() and sinks.read_artifact(spark, root, "r", "files").count() == 0
     sinks.write_partitioned(df, f"{root}/p", "v")
     assert spark.read.parquet(f"{root}/p").count() == 1
+
+
+def test_greedy_paths_are_not_cut(spark):
+    chain = [("g", f"n{i:03}", f"n{i + 1:03}") for i in range(70)]
+    e = spark.createDataFrame(chain, "graph_id string, src string, dst string").coalesce(1)
+    starts = spark.createDataFrame([("g", "n000"), ("g", "n003")], "graph_id string, id string").coalesce(1)
+    paths = G.longest_path(G.greedy_paths(e, starts)).orderBy("step").collect()
+    assert [r.id for r in paths] == [f"n{i:03}" for i in range(71)]
+    assert G.greedy_paths(e, starts, guard=3).count() == 6
