@@ -231,12 +231,16 @@ methodbody = block ;
 memberkey = PROP | STR | NUM | '[' assign ']' | PRIVATE ;
 field = optdefinite ann init? end ;
 expr = assign (',' assign)* ;
-assign = arrow | 'yield' ('*'? assign)? | cond (ASSIGN assign)? ;
+assign = arrow | 'yield' ('*'? assign)? | ('new')* (place placed | value valued) | (PREFIX | '-' | '+' | 'typeof' | 'void' | 'delete' | 'await' | INCR | castmore)+ (lhs INCR? | PRIVATE 'in' unary) operators | PRIVATE 'in' unary operators ;
+place = NAME | array | object | '(' expr ')' ;
+value = 'this' | 'super' | 'null' | 'true' | 'false' | NUM | STR | REGEX | template | fnexpr | classexpr | element | 'new' '.' 'target' | 'import' ('(' assign (',' assign)? ','? ')' | '.' 'meta') ;
+placed = ASSIGN assign | valued ;
+valued = INCR? operators | access placed | args valued | template valued | '?.' (PROP | PRIVATE | '[' expr ']' | args) valued | suffixed ;
+access = '.' (PROP | PRIVATE) | '[' expr ']' ;
+operators = (BINOP unary | '*' unary | '-' unary | '+' unary | '<' unary | '>' unary | '/' unary | 'in' unary | 'instanceof' unary | asmore)* ('?' assign ':' assign)? ;
 arrow = 'async'? NAME '=>' arrowbody | 'async'? arrowparams '=>' arrowbody ;
 arrowparams = tparams '(' params? ')' returns ;
 arrowbody = block | !{ '{' } assign ;
-cond = binary ('?' assign ':' assign)? ;
-binary = unary (BINOP unary | '*' unary | '-' unary | '+' unary | '<' unary | '>' unary | '/' unary | 'in' unary | 'instanceof' unary | asmore)* ;
 unary = (PREFIX | '-' | '+' | 'typeof' | 'void' | 'delete' | 'await' | INCR | castmore)* (lhs INCR? | PRIVATE 'in' unary) ;
 lhs = ('new')* (primary | 'new' '.' 'target' | 'import' ('(' assign (',' assign)? ','? ')' | '.' 'meta')) suffix* ;
 suffix = '.' (PROP | PRIVATE) | '?.' (PROP | PRIVATE | '[' expr ']' | args) | '[' expr ']' | args | template | suffixmore ;
@@ -276,6 +280,7 @@ defaultmore = NEVER ;
 asmore = NEVER ;
 castmore = NEVER ;
 suffixmore = NEVER ;
+suffixed = NEVER ;
 jtargs = ;
 thisparam = NEVER ;
 """
@@ -311,6 +316,7 @@ defaultmore = interface ;
 asmore = ('as' | 'satisfies') type ;
 castmore = '<' type '>' ;
 suffixmore = '!' | targs ;
+suffixed = '!' placed | targs valued ;
 jtargs = targs? ;
 thisparam = 'this' ann ;
 targs = '<' type (',' type)* ','? '>' ;
@@ -346,7 +352,7 @@ def _script(typed: bool) -> Grammar:
         **{k: {k} for k in "STR NUM REGEX TPL THEAD TMID TTAIL PRIVATE HASHBANG JOPEN JNAME JSELF JEND JCLOSE JEQ JSTR JTEXT".split()},
     }
     if typed:  # '>' comes one at a time, so that it can close type arguments
-        text = text.replace("'>' unary |", "'>' ('>' ('>')?)? unary |").replace("cond (ASSIGN assign)?", "cond ((ASSIGN | '>' '>' '>'? '=') assign)?").replace("BINOP unary |", "BINOP unary | '>' '=' unary |")
+        text = text.replace("'>' unary |", "'>' ('>' ('>')?)? unary |").replace("placed = ASSIGN assign", "placed = (ASSIGN | '>' '>' '>'? '=') assign").replace("BINOP unary |", "BINOP unary | '>' '=' unary |")
     g = Grammar(text, "program", classes)
     brace = g.kind("}")
     g.kind("ERROR")

@@ -271,16 +271,21 @@ def parse_script(text: str, typed: bool, jsx: bool) -> Verdict | None:
     return None if g.nullable(state, END) else Verdict("truncated", text.count("\n") + 1, "")
 
 
-def _ast(text: str) -> bool:
+def _ast(text: str) -> Verdict | None:
+    """What the standard parser has against a text."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text)
-    except (SyntaxError, ValueError):
-        return False
+    except SyntaxError as e:
+        line = max(1, e.lineno or 1)
+        rows = text.split("\n")
+        return Verdict("token", line, rows[line - 1][max(0, (e.offset or 1) - 1) :][:20] if line <= len(rows) else "")
+    except ValueError:
+        return Verdict("token", 1, "")
     except (RecursionError, MemoryError):
-        return True
-    return True
+        return None
+    return None
 
 
 def _json(text: str) -> bool:
@@ -294,20 +299,32 @@ def _json(text: str) -> bool:
     return True
 
 
+def _judge_once(text: str, ext: str) -> Verdict | None:
+    if ext == ".py":
+        v = parse_python(text)
+        exact = _ast(text.removeprefix("\ufeff"))  # the grammar lets targets and the order of arguments be
+        return exact and (v or exact)
+    if ext == ".json":
+        v = parse_json(text)
+        return None if v and _json(text) else v
+    return parse_script(text, ext in (".ts", ".tsx"), ext in (".jsx", ".tsx"))
+
+
 def judge(text: str | None, ext: str) -> Verdict | None:
     """What is wrong with a text in the language of the extension; None for valid."""
     if not text:
         return None
     try:
-        if ext == ".py":
-            v = parse_python(text)
-            return None if v and _ast(text) else v
-        if ext == ".json":
-            v = parse_json(text)
-            return None if v and _json(text) else v
-        return parse_script(text, ext in (".ts", ".tsx"), ext in (".jsx", ".tsx"))
+        return _judge_once(text, ext)
     except (RecursionError, TooComplex):
-        return None
+        pass
+    # the nodes of other files count no longer
+    for g in (G.PY, G.JS_ON, G.JS, G.TS):
+        g.forget()
+    try:
+        return _judge_once(text, ext)
+    except (RecursionError, TooComplex):
+        return _ast(text) if ext == ".py" else None
 
 
 _JUDGED = "file_id bigint, repo_id string, language string, valid boolean, reason string, line int, token string"

@@ -79,3 +79,37 @@ def test_files_and_rates(spark):
     assert {r.file_id for r in P.broken_files(f).collect()} == {1, 7}
     assert {(r.repo_id, r.language, r.files, r.broken) for r in P.broken_rates(f).collect()} == {("r", "py", 3, 1), ("q", "other", 1, 1)}
     assert P.broken_files(f.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ['f"{}"', 'f"{a b}"', 'f"{1 +}"', "f() = 3", "1 = x", "a + b = c", "del f()", "f(a=1, 2)", "def f(a=1, b): pass"])
+def test_python_beyond_the_grammar_is_rejected(text):
+    assert P.judge(text + "\n", ".py") is not None
+
+
+@pytest.mark.parametrize("ext", [".js", ".ts"])
+@pytest.mark.parametrize("text", ["1 = 2;", "a + b = c;", "f() = 3;", "x++ = 1;", "-a = 1;"])
+def test_targets_of_scripts(text, ext):
+    assert P.judge(text, ext) is not None
+
+
+@pytest.mark.parametrize("ext", [".js", ".ts"])
+@pytest.mark.parametrize("text", ["a = b = c;", "a.b[0].c += f().d = 1;", "[a, b] = [b, a];", "({ a, b: c } = d);", "(a) = 1;", "x ? y : z = 1;", "this.a ||= 1;", "f`t`.x = 1;", "for (a.b of c) d = e;", "new A().b = 1;", "super.x = 1;", "if (a) b = c; else d = (e) => f = g;"])
+def test_right_targets_of_scripts(text, ext):
+    assert P.judge(text, ext) is None
+
+
+@pytest.mark.parametrize("text", ["(a as any) = 1;", "a! = 1;", "(<any>a).b = 1;", "a!.b = 1;", "a >>>= 1;"])
+def test_right_targets_of_typescript(text):
+    assert P.judge(text, ".ts") is None
+
+
+def test_too_complex_texts_are_judged_again(monkeypatch):
+    once = P._judge_once
+    calls = []
+    def first_fails(text, ext):
+        calls.append(text)
+        if len(calls) == 1:
+            raise P.TooComplex
+        return once(text, ext)
+    monkeypatch.setattr(P, "_judge_once", first_fails)
+    assert P.judge("a b c", ".js") is not None
