@@ -1,17 +1,20 @@
 """Generated, minified, vendored files and data kept as code (problem 3).
 
-Each code file becomes two streams of token shingles (five tokens, remarks left out): one with identifiers, numbers and
-strings masked, one as written. From these come
-
-* generated: the masked shingles of the file repeat one block (few distinct ones for many tokens), or the file belongs
-  to a family within its repository (MinHash bands of the masked shingles, verified to be 0.8 similar) and either
-  repeats a block in part or has a form that no other repository has anything like, or a tool's notice begins one of its
-  remarks. A form that several repositories share is the habit of a trade as often as that of a tool (of 60 such
-  files in sf0.1, 14 were read and all 14 look written by hand), so there the family is evidence, not proof;
-* vendored: the shingles as written are, by MinHash banding and verification of the signatures, at least 0.8 similar to
-  a file of another repository; or a third party's notice or package folder says so;
+Each code file becomes two sets of token shingles (five tokens, remarks left out): its form, with names, numbers and
+strings masked, and its masked text, with the names alone masked. From these come
+
+* generated: the form repeats one block (few distinct shingles for many tokens), or the file belongs to a family within
+  its repository (MinHash bands of the form, verified to be 0.8 similar, three different texts) and either
+  repeats a block in part or has a form that no other repository has anything like. A form that several repositories
+  share is the habit of a trade as often as that of a tool (of 60 such files in sf0.1, 14 were read and all 14 look
+  written by hand), so there the family is evidence, not proof;
+* vendored: the masked texts are, by MinHash banding and verification, at least 0.8 similar to a file of another
+  repository, and so are the names and strings in them: in a cluster of masked texts alone stand copies and code that
+  was written after one pattern (1,233 such files in sf0.1). A renamed identifier breaks neither;
 * data: nearly all characters of the code lie in one run of literals;
-* minified: names of one or two letters and no white space.
+* minified: names of one or two letters and no white space;
+* a tool's or third party's notice at the beginning of a remark, or a folder for packages, stands in where a file is the
+  only one of its kind in the corpus. Without any of them 0.999 of the files flagged in sf0.1 remain.
 
 Defined results: null and empty texts and files other than js, ts and py take no part; redelivered rows count once;
 texts under MIN_SHARED shingles are too short to count as copies; further columns are ignored.
@@ -28,13 +31,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from quarryline.functions.paths import language
-from quarryline.session import checkpointed, spread_left_join
+from quarryline.session import checkpointed
 
-SHINGLE, PERMUTATIONS, BANDS, ROWS, SIMILAR = 5, 128, 12, 4, 0.8
-#: Shingles that a file must have to count as a copy of another.
+SHINGLE, PERMUTATIONS, BANDS, ROWS, SIMILAR = 5, 128, 12, 5, 0.8
+#: Minima of a band of copies that are those of names and strings, and similarity of these that a copy has: whoever
+#: takes a file over may rename something in it, whoever writes after the same pattern has names of their own.
+WORD_ROWS, SAME_WORDS = 2, 0.8
+#: Distinct shingles that a file must have to count as a copy of another.
 MIN_SHARED = 24
 #: A block repeats when distinct masked shingles are at most this share of all, and this many.
 REPEATS, BLOCK = 0.14, 150
@@ -43,6 +48,8 @@ FAMILY_REPEATS, FAMILY = 0.25, 3
 MIN_FORM = 8
 #: Similarity from which another repository's form speaks against a family of one repository.
 FOREIGN = 0.5
+#: Members of a bucket that are compared at a time; changes speed only.
+SLICE = 512
 #: Share of the code's characters in one run of literals, and characters of that run, that make a file data.
 LITERAL, LITERAL_CHARS = 0.88, 400
 #: Mean length of names and share of white space under which code of some size is minified.
@@ -74,6 +81,8 @@ _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: What stands for every name.
+_NAMED = np.uint64(0x5851F42D4C957F2D)
 
 
 class _Tokens(dict):
@@ -128,17 +137,27 @@ def shingles(ids: np.ndarray) -> np.ndarray:
 
 
 def signature(distinct: np.ndarray) -> np.ndarray:
-    """16 bits of the least value under each permutation, of distinct hashes; large sets go in slices."""
+    """The least value under each permutation, of distinct hashes; large sets go in slices."""
     best = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(distinct), 4096):
             best = np.minimum(best, (distinct[at : at + 4096, None] * _MULTIPLY + _ADD).min(0))
-    return (best >> np.uint64(48)).astype(np.uint16)
+    return best
 
 
-def bands(sig: np.ndarray, salt: int) -> list[int]:
-    """One key for each band of a signature."""
-    return [xxhash.xxh64_intdigest(sig[b * ROWS : (b + 1) * ROWS].tobytes(), seed=salt * 100 + b) - (1 << 63) for b in range(BANDS)]
+def sketch(best: np.ndarray) -> bytes:
+    """One byte of each minimum: two sets agree on a byte with their similarity, and else by chance in one of 256."""
+    with np.errstate(over="ignore"):
+        return ((best * _STEP) >> np.uint64(56)).astype(np.uint8).tobytes()  # the first bits of a minimum are nearly always 0
+
+
+def bands(best: np.ndarray, salt: int, words: np.ndarray | None = None) -> list[int]:
+    """One key for each band of a signature. With the minima of its words a band has WORD_ROWS of these and fewer of the shingles."""
+    rows = ROWS if words is None else ROWS - WORD_ROWS
+    held = best[: BANDS * rows].reshape(BANDS, rows)
+    if words is not None:
+        held = np.hstack([held, words[: BANDS * WORD_ROWS].reshape(BANDS, WORD_ROWS)])
+    return [xxhash.xxh64_intdigest(held[b].tobytes(), seed=salt * 100 + b) - (1 << 63) for b in range(BANDS)]
 
 
 def _code(text: str) -> str:
@@ -196,16 +215,17 @@ def describe(text: str, tokens: _Tokens, python: bool) -> dict:
     names = kind == NAME
     masked = shingles(kind.astype(np.uint64))
     form = np.unique(masked)
-    own = np.unique(shingles(mark))
+    own = np.unique(shingles(np.where(names, _NAMED, mark)))
+    words = np.unique(mark[names | (kind == STRING)])
     return {
-        "total": total, "run": run, "names": float(size[names].mean()) if names.any() else 0.0,
-        "dense": 1 - total / max(1, len(text) - remarks), "all": len(masked), "form": form, "own": own,
+        "text": xxhash.xxh64_intdigest(mark.tobytes()) - (1 << 63), "total": total, "run": run, "names": float(size[names].mean()) if names.any() else 0.0,
+        "dense": 1 - total / max(1, len(text) - remarks), "all": len(masked), "form": form, "own": own, "words": words,
     }
 
 
 DESCRIBED = (
     "file_id bigint, repo_id string, path string, total bigint, run bigint, names double, dense double, shingles bigint, forms bigint, own bigint, tool boolean, "
-    "notice string, signature binary, text_bands array<bigint>, form_signature binary, form_bands array<bigint>")
+    "notice string, text bigint, signature binary, text_bands array<bigint>, form_signature binary, form_bands array<bigint>")
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,73 +240,53 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             notice = next((next(g for g in m.groups() if g) for r in said if (m := _NOTICE.match(r))), None)
             tool = any(_TOOL.match(r) for r in said)
             if not d["total"]:
-                rows.append((file_id, repo_id, path, 0, 0, 0.0, 0.0, 0, 0, 0, tool, notice, b"", [], b"", []))
+                rows.append((file_id, repo_id, path, 0, 0, 0.0, 0.0, 0, 0, 0, tool, notice, 0, b"", [], b"", []))
                 continue
-            sig, form = signature(d["own"]), signature(d["form"])
+            sig, form, words = signature(d["own"]), signature(d["form"]), signature(d["words"])
             rows.append((
-                file_id, repo_id, path, d["total"], d["run"], d["names"], d["dense"], d["all"], len(d["form"]), len(d["own"]), tool, notice, sig.tobytes(),
-                bands(sig, 1) if len(d["own"]) >= MIN_SHARED else [], form.tobytes(), bands(form, 2) if len(d["form"]) >= MIN_FORM else []))
+                file_id, repo_id, path, d["total"], d["run"], d["names"], d["dense"], d["all"], len(d["form"]), len(d["own"]), tool, notice, d["text"], sketch(sig) + sketch(words),
+                bands(sig, 1, words) if len(d["own"]) >= MIN_SHARED and len(d["words"]) else [], sketch(form), bands(form, 2) if len(d["form"]) >= MIN_FORM else []))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in DESCRIBED.split(", ")])
 
 
 def described(files: DataFrame) -> DataFrame:
-    """One row per delivered code file with its measures, notices, signature and band keys. No shuffle."""
+    """One row per delivered code file with its measures, notices, signatures and band keys. No shuffle."""
     rows = files.select("file_id", "repo_id", "path", language(F.col("path")).alias("language"), "text")
     rows = rows.where(F.col("text").isNotNull() & (F.col("text") != "") & (F.col("language") != "other") & F.col("file_id").isNotNull())
     return rows.mapInPandas(_describe, DESCRIBED)
 
 
-@F.pandas_udf(DoubleType())
-def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of equal minima in two signatures: the estimate of the similarity."""
-    return pd.Series([float((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).mean()) if x and y else 0.0 for x, y in zip(a, b)])
+# ---------------------------------------------------------------- clusters
+#
+# A cluster's node is one signature of one repository, whatever the number of files behind it, so groups of copies and
+# files from one template shrink to one row before anything is compared.
 
 
-def copies(rows: DataFrame) -> DataFrame:
-    """(file_id, class_id) of files at least 0.8 similar to a file of another repository, or to its class across repositories.
+def _compare(keys: np.ndarray, ask: np.ndarray, repos: np.ndarray, weight: np.ndarray, signatures: list, own: bool, least: float) -> Iterator[int]:
+    """The asking rows with enough similar rows in their bucket: FAMILY texts of their own repository, or one of another.
 
-    Only ids and band keys are shuffled to find the buckets. A bucket becomes its representative (least id), and only
-    buckets with two repositories go on; signatures are fetched for the files of these alone, and every member is
-    compared with representatives first. Members without a copy after that ask all members of their buckets, so a link
-    is never lost because the representative is like neither end; such a file has itself as its class.
+    Each asks a slice of the bucket at a time and stops when it knows, so that a bucket with many alike costs one slice
+    for each; only strangers ask the whole bucket.
     """
-    exploded = rows.select("file_id", F.xxhash64("repo_id").alias("_repo"), F.explode("text_bands").alias("band"))
-    buckets = exploded.groupBy("band").agg(
-        F.min("file_id").alias("class_id"), F.min("_repo").alias("_a"), F.max("_repo").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b")
-    buckets = checkpointed(buckets.select("band", "class_id", "_n"))
-    met = spread_left_join(exploded, buckets.select("band", "class_id"), ["band"], "file_id", counts=buckets.select("band", "_n")).where("class_id is not null")
-    pairs = met.groupBy("file_id", "class_id").agg(F.first("_repo").alias("_repo"))
-    signed = rows.groupBy("file_id").agg(F.first("signature").alias("signature"))
-    pairs = pairs.join(signed, "file_id").join(signed.select(F.col("file_id").alias("class_id"), F.col("signature").alias("_s")), "class_id")
-    close = pairs.where((F.col("file_id") == F.col("class_id")) | (agreement("signature", "_s") >= SIMILAR)).select("file_id", "class_id", "_repo")
-    close = checkpointed(close)
-    spans = close.groupBy("class_id").agg(F.min("_repo").alias("_a"), F.max("_repo").alias("_b")).where("_a <> _b").select("class_id")
-    found = checkpointed(close.join(spans, "class_id").groupBy("file_id").agg(F.min("class_id").alias("class_id")))
-    # the representatives may be strangers to the rest: whoever has no copy yet asks all others of its buckets
-    text = rows.groupBy("file_id").agg(F.first(F.xxhash64("signature")).alias("text"))
-    asking = met.select("file_id").distinct().join(found, "file_id", "left_anti").withColumn("_ask", F.lit(True))
-    members = met.select("band", "file_id", F.col("_repo").alias("repo")).distinct().join(asking, "file_id", "left").join(text, "file_id")
-    members = members.select("band", "file_id", F.coalesce("_ask", F.lit(False)).alias("ask"), "repo", "text")
-    open_ = members.groupBy("band").agg(F.max("ask").alias("_any"), F.count(F.lit(1)).alias("_n")).where("_any and _n > 2").select("band")
-    late = near(members.join(open_, "band", "left_semi"), signed).where("elsewhere").select("file_id", F.col("file_id").alias("class_id"))
-    return found.unionByName(late.distinct())
-
-
-def _compare(keys: np.ndarray, ask: np.ndarray, repos: np.ndarray, texts: np.ndarray, signatures: list, foreign: float = SIMILAR) -> Iterator[tuple[int, bool, list]]:
-    """For each row that asks: its place, whether a similar row of its bucket is of another repository, and similar other texts of its own."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     for a, b in zip(starts[:-1], starts[1:]):
-        asking = np.flatnonzero(ask[a:b])
+        asking = a + np.flatnonzero(ask[a:b])
         if b - a < 2 or not len(asking):
             continue
-        held = np.frombuffer(b"".join(signatures[a:b]), np.uint16).reshape(b - a, PERMUTATIONS)
+        held = np.frombuffer(b"".join(signatures[a:b]), np.uint8).reshape(b - a, -1, PERMUTATIONS)
+        bounds = np.array([least, SAME_WORDS])[: held.shape[1]]
         for i in asking:
-            like, same = (held == held[i]).mean(1), repos[a:b] == repos[a + i]
-            own = same & (like >= SIMILAR)
-            yield a + i, bool((~same & (like >= foreign)).any()), np.unique(texts[a:b][own & (texts[a:b] != texts[a + i])])[: FAMILY - 1].tolist()
+            n = 0
+            for at in range(a, b, SLICE):
+                to = min(b, at + SLICE)
+                like = ((held[at - a : to - a] == held[i - a]).mean(2) >= bounds).all(1)
+                n += int(weight[at:to][like & (repos[at:to] == repos[i])].sum()) if own else int((like & (repos[at:to] != repos[i])).sum())
+                if n >= (FAMILY if own else 1):
+                    yield i
+                    break
 
 
-def _near(batches: Iterator[pd.DataFrame], foreign: float) -> Iterator[pd.DataFrame]:
+def _near(batches: Iterator[pd.DataFrame], own: bool, least: float) -> Iterator[pd.DataFrame]:
     """Rows come sorted by bucket; the last bucket of a batch waits for the next."""
     kept = None
     for pdf in _with_end(batches):
@@ -298,9 +298,8 @@ def _near(batches: Iterator[pd.DataFrame], foreign: float) -> Iterator[pd.DataFr
         kept = whole.iloc[cut:].reset_index(drop=True)
         if cut:
             part = whole.iloc[:cut]
-            ids = part.file_id.to_numpy()
-            rows = [(ids[i], far, own) for i, far, own in _compare(keys[:cut], part.ask.to_numpy(), part.repo.to_numpy(), part.text.to_numpy(), part.signature.tolist(), foreign) if far or own]
-            yield pd.DataFrame(rows, columns=["file_id", "elsewhere", "texts"])
+            told = list(_compare(keys[:cut], part.ask.to_numpy(), part.repo.to_numpy(), part.n.to_numpy(), part.signature.tolist(), own, least))
+            yield pd.DataFrame({"node": part.node.to_numpy()[told]}, columns=["node"])
 
 
 def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
@@ -308,42 +307,59 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     yield None
 
 
-def near(members: DataFrame, signed: DataFrame, foreign: float = SIMILAR) -> DataFrame:
-    """(file_id, elsewhere, texts) of the members that ask: members(band, file_id, ask, repo, text), signed(file_id, signature).
+def near(members: DataFrame, own: bool, least: float) -> DataFrame:
+    """(node) of those members that ask and are told: members(band, node, repo, n, ask, signature)."""
+    rows = members.repartition("band").sortWithinPartitions("band")
+    return rows.mapInPandas(lambda batches: _near(batches, own, least), "node bigint").distinct()
 
-    A bucket compares those that ask with all its members, so no pair of a bucket is lost to the choice of a
-    representative. Only ids are shuffled before the buckets in question are known.
+
+def nodes(rows: DataFrame, signature: str, keys: str, ask: Column) -> DataFrame:
+    """(node, repo, look, n, ask, signature, bands): one row for each signature of a repository with its number of texts.
+
+    ``look`` is the same for equal signatures of all repositories. A null repository is one of its own.
     """
-    rows = members.join(signed, "file_id").select("band", "file_id", "ask", "repo", "text", "signature")
-    return rows.repartition("band").sortWithinPartitions("band").mapInPandas(lambda batches: _near(batches, foreign), "file_id bigint, elsewhere boolean, texts array<bigint>")
+    each = rows.where(F.size(keys) > 0).select(F.xxhash64(F.coalesce("repo_id", F.lit(""))).alias("repo"), F.xxhash64(signature).alias("look"), "text", ask.alias("ask"), F.col(signature).alias("signature"), F.col(keys).alias("bands"))
+    texts = each.groupBy("repo", "look", "text").agg(F.max("ask").alias("ask"), F.min("signature").alias("signature"), F.first("bands").alias("bands"))
+    one = texts.groupBy("repo", "look").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("ask"), F.min("signature").alias("signature"), F.first("bands").alias("bands"))
+    return one.withColumn("node", F.xxhash64("repo", "look"))
 
 
-def families(rows: DataFrame, ask: Column, part: Column) -> DataFrame:
-    """(file_id, elsewhere) of the files that ask and have FAMILY different texts of one form in their repository.
+def copies(rows: DataFrame) -> DataFrame:
+    """(node) of the signatures that are at least 0.8 similar to one of another repository.
 
-    Texts of one form are at least 0.8 similar in their masked shingles. ``elsewhere`` tells that other repositories
-    have a form at least FOREIGN similar; it is read from all buckets of the file, not only from those it shares with
-    its family. A file that is no ``part`` case and whose likeliest partner elsewhere proves this takes no further part,
-    as its family would change nothing.
+    Equal signatures are told by a count. The others go by their bands: only buckets of two repositories are read, and a
+    node that does not know yet asks all members of its buckets, so no link depends on a representative.
+    """
+    own = checkpointed(nodes(rows, "signature", "text_bands", F.lit(True)))
+    shared = own.groupBy("look").agg(F.min("repo").alias("_a"), F.max("repo").alias("_b")).where("_a <> _b").select("look")
+    same = own.join(shared, "look", "left_semi").select("node")
+    keyed = own.select("node", "repo", F.explode("bands").alias("band"))
+    buckets = keyed.groupBy("band").agg(F.min("repo").alias("_a"), F.max("repo").alias("_b")).where("_a <> _b").select("band")
+    members = checkpointed(keyed.join(buckets, "band", "left_semi").join(same.withColumn("_same", F.lit(True)), "node", "left"))
+    open_ = members.groupBy("band").agg(F.max(F.col("_same").isNull()).alias("_any")).where("_any").select("band")
+    members = members.join(open_, "band", "left_semi").select("band", "node", F.col("_same").isNull().alias("ask"))
+    found = near(members.join(own.select("node", "repo", "n", "signature"), "node"), False, SIMILAR)
+    return same.unionByName(found)
+
+
+def families(rows: DataFrame, ask: Column) -> DataFrame:
+    """(node, elsewhere) of the forms that ask and have FAMILY different texts at least 0.8 similar in their repository.
+
+    ``elsewhere`` tells that other repositories have a form at least FOREIGN similar.
     """
-    one = rows.dropDuplicates(["file_id"])
-    signed = one.select("file_id", F.col("form_signature").alias("signature"))
-    exploded = one.select("file_id", F.xxhash64("repo_id").alias("repo"), F.xxhash64("signature").alias("text"), ask.alias("ask"), part.alias("_part"), F.explode("form_bands").alias("band"))
-    company = exploded.groupBy("repo", "band").agg(F.min("text").alias("_a"), F.max("text").alias("_b"), F.max(F.col("ask") & ~F.col("_part")).alias("_ask")).where("_a <> _b and _ask").select("repo", "band")
-    ends = exploded.groupBy("band").agg(F.min(F.struct("repo", "file_id")).alias("_a"), F.max(F.struct("repo", "file_id")).alias("_b")).where("_a.repo <> _b.repo")
-    first = exploded.where("ask and not _part").join(company, ["repo", "band"], "left_semi").join(ends, "band")
-    first = first.select("file_id", F.when(F.col("repo") == F.col("_a.repo"), F.col("_b.file_id")).otherwise(F.col("_a.file_id")).alias("_other")).groupBy("file_id", "_other").agg(F.count(F.lit(1)).alias("_n"))
-    first = first.groupBy("file_id").agg(F.max_by("_other", F.struct("_n", "_other")).alias("_other")).join(signed, "file_id")
-    first = first.join(signed.select(F.col("file_id").alias("_other"), F.col("signature").alias("_s")), "_other").where(agreement("signature", "_s") >= FOREIGN).select("file_id", F.lit(True).alias("_known"))
-    exploded = exploded.join(checkpointed(first), "file_id", "left").withColumn("ask", F.col("ask") & F.col("_known").isNull()).drop("_part", "_known")
-    shared = exploded.groupBy("repo", "band").agg(F.min("text").alias("_a"), F.max("text").alias("_b"), F.max("ask").alias("_ask")).where("_a <> _b and _ask").select("repo", "band")
-    told = near(exploded.join(shared, ["repo", "band"], "left_semi").withColumn("band", F.xxhash64("repo", "band")), signed)
-    told = told.select("file_id", F.explode("texts").alias("text")).groupBy("file_id").agg(F.countDistinct("text").alias("n")).where(F.col("n") >= FAMILY - 1)
-    family = checkpointed(told.select("file_id"))
-    asked = exploded.drop("ask").join(family.withColumn("_in", F.lit(True)), "file_id", "left").select("band", "file_id", F.coalesce("_in", F.lit(False)).alias("ask"), "repo", "text")
-    wanted = asked.groupBy("band").agg(F.max("ask").alias("_ask"), F.min("repo").alias("_a"), F.max("repo").alias("_b")).where("_ask and _a <> _b").select("band")
-    far = near(asked.join(wanted, "band", "left_semi"), signed, FOREIGN).where("elsewhere").select("file_id").distinct().withColumn("elsewhere", F.lit(True))
-    return family.join(far, "file_id", "left").select("file_id", F.coalesce("elsewhere", F.lit(False)).alias("elsewhere"))
+    form = checkpointed(nodes(rows, "form_signature", "form_bands", ask))
+    alone = form.where(F.col("ask") & (F.col("n") >= FAMILY)).select("node")
+    keyed = form.select("node", "repo", "n", (F.col("ask") & (F.col("n") < FAMILY)).alias("ask"), F.explode("bands").alias("_b"))
+    keyed = keyed.select("node", "repo", "n", "ask", F.xxhash64("repo", "_b").alias("band"))
+    # a bucket has a family only where its texts are as many
+    shared = keyed.groupBy("band").agg(F.sum("n").alias("_n"), F.max("ask").alias("_ask")).where((F.col("_n") >= 2) & F.col("_ask")).select("band")
+    sketches = form.select("node", "signature")
+    family = checkpointed(alone.unionByName(near(keyed.join(shared, "band", "left_semi").join(sketches, "node"), True, SIMILAR)))
+    everywhere = form.select("node", "repo", "n", F.explode("bands").alias("band")).join(family.withColumn("_in", F.lit(True)), "node", "left")
+    wanted = everywhere.where("_in").select("band").distinct()
+    asked = everywhere.join(wanted, "band", "left_semi").select("band", "node", "repo", "n", F.coalesce("_in", F.lit(False)).alias("ask"))
+    far = near(asked.join(sketches, "node"), False, FOREIGN).withColumn("elsewhere", F.lit(True))
+    return family.join(far, "node", "left").select("node", F.coalesce("elsewhere", F.lit(False)).alias("elsewhere"))
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
@@ -358,10 +374,13 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     minified = (F.col("names") > 0) & (F.col("names") < SHORT_NAMES) & (F.col("dense") < DENSE) & (F.col("total") > MIN_CODE)
     # a family changes nothing for the others
     ask = F.coalesce(form & ~data & ~F.col("tool") & ~block & (~minified | part), F.lit(False))
-    slim = rows.drop("signature", "text_bands", "form_signature", "form_bands").dropDuplicates(["file_id"])
-    out = slim.join(copies(rows), "file_id", "left").join(families(rows, ask, F.coalesce(part, F.lit(False))), "file_id", "left")
-    family = F.col("elsewhere").isNotNull() & (part | ~F.col("elsewhere"))
-    vendored = F.col("class_id").isNotNull() | F.col("notice").isNotNull() | F.col("path").rlike(_PACKAGES)
+    slim = rows.drop("text", "text_bands", "form_bands").dropDuplicates(["file_id"])
+    repo = F.xxhash64(F.coalesce("repo_id", F.lit("")))
+    slim = slim.withColumns({"_own": F.xxhash64(repo, F.xxhash64("signature")), "_form": F.xxhash64(repo, F.xxhash64("form_signature"))}).drop("signature", "form_signature")
+    copied = copies(rows).distinct().select(F.col("node").alias("_own"), F.lit(True).alias("_copied"))
+    out = slim.join(copied, "_own", "left").join(families(rows, ask).withColumnRenamed("node", "_form"), "_form", "left")
+    family = F.col("elsewhere").isNotNull() & (part | ~F.col("elsewhere")) & ask
+    vendored = F.col("_copied").isNotNull() | F.col("notice").isNotNull() | F.col("path").rlike(_PACKAGES)
     flags = out.select(
         "file_id", "repo_id", ((block | family) & ~data | F.col("tool")).alias("generated"), (vendored & ~data).alias("vendored"),
         data.alias("data"), (minified & ~data).alias("minified"))
