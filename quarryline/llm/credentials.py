@@ -1,14 +1,15 @@
 """Credentials embedded in source code (problem 6).
 
-Lines that hold any trigger (a credential's name, the prefix of a known key format, an address, a header, a key block)
-are found with one pass of a keyword automaton over each text. Their lexical tokens are labelled by a linear-chain
+Lines are read by the model where they hold what a credential needs: a name that speaks of one by its letters
+(``credential_names``) before a sign of assignment, a literal whose characters are mixed as in no word, an address with
+a user, a header, the prefix of a known key format, or a key block. Their lexical tokens are labelled by a linear-chain
 conditional random field with features of shape and context; the spans of the best labelling (Viterbi) are the literal
 characters that are redacted. A span that is a placeholder by the fixed list is dropped afterwards. Of a key block the
 first line is reported and the body is redacted up to its end line.
 
 The model is trained here, on ``SAMPLE`` labelled lines that are generated with a seed: names, values and line forms
 are combined at random, with decoys (placeholders, digests, ids, references, settings about credentials). Training
-takes a few seconds on the driver, once per process; the weights are a few hundred numbers whatever the input.
+takes a few seconds on the driver, once per process; the weights are some ten thousand numbers whatever the input.
 
 Defined results: null and empty texts have no findings; a file counts once however often it was delivered; further
 columns are ignored; lines end at '\\n' and are counted from 1. Masked characters become 'x', so lengths, lines and
@@ -17,7 +18,6 @@ quotes stay as they were.
 
 from __future__ import annotations
 
-
 import random
 import re
 from collections.abc import Iterator
@@ -28,8 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.llm import credential_names as N
+
 #: Number of generated lines that the model is fitted on.
-SAMPLE = 3600
+SAMPLE = 4500
 SEED = 11
 
 #: Words that make a name a credential's when they end it.
@@ -49,7 +51,7 @@ PLACEHOLDERS = {
 }
 _MASKED = re.compile(r"(?i)[x*.#•_-]{3,}|<[^<>]*>|\$\{[^{}]*\}|\{\{[^{}]*\}\}|%\w+%|your[-_ ].*|(?:example|change|insert|replace)[-_ ].*")
 #: How keys of known formats begin.
-KNOWN = re.compile(r"AKIA[A-Z0-9]{12}|ASIA[A-Z0-9]{12}|AIza[\w-]{20}|gh[pousr]_\w{20}|github_pat_\w{20}|glpat-[\w-]{16}|[sprk]k_(?:live|test)_\w{16}|xox[abeoprs]-[\w-]{12}|eyJ[\w-]{10,}\.[\w-]{8,}|npm_\w{20}|SG\.[\w-]{16}|pvs_\w{16}|whsec_\w{16}|dop_v1_\w{20}|hf_\w{20}")
+KNOWN = re.compile(r"AKIA[A-Z0-9]{12}|ASIA[A-Z0-9]{12}|AIza[\w-]{20}|gh[pousr]_\w{20}|github_pat_\w{20}|glpat-[\w-]{16}|[sprk]k_(?:live|test)_\w{16}|xox[abeoprs]-[\w-]{12}|eyJ[\w-]{10,}\.[\w-]{8,}|npm_\w{20}|SG\.[\w-]{16}|whsec_\w{16}|[a-z]{2,6}_(?=[A-Za-z]*\d[A-Za-z]*\d)[A-Za-z0-9]{24}|dop_v1_\w{20}|hf_\w{20}")
 
 _CHUNK = r"[\w+\-.!#$%^&*~|]+"
 _TOKEN = re.compile(rf"[A-Za-z][A-Za-z0-9+.\-]*://|\$\{{|\{{\{{|\}}\}}|{_CHUNK}|\S")
@@ -60,6 +62,8 @@ _PHRASE = re.compile(r"[a-z]+(?:-[a-z]+){1,5}-\d+")
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*(?:[.\-]+[A-Za-z_$][\w$]*)*")
 _ODD_CASE = re.compile(r"[a-z][A-Z](?![A-Za-z])|[A-Z]{2}[a-z]{1,2}(?![A-Za-z])|[a-z][A-Z]{2,}[a-z]")
 _CAMEL_NAME = re.compile(r"[\w$]*(?:ID|URL|API|JSON|HTML|IDs|URLs|APIs)[\w$]*")
+#: Calls that take a name and a password.
+_LOGIN = re.compile(r"(?i)connect|login|log_?in|auth|sign_?in|credential|session")
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 
@@ -124,13 +128,21 @@ def shape(tok: str) -> str:
     return "word"
 
 
-def contexts(line: str) -> list[tuple[int, int, tuple]]:
+@lru_cache(maxsize=200_000)
+def mixture(tok: str) -> tuple[str, int]:
+    """The classes of a token's characters, and how its letters, digits and signs take turns for its length (0 to 3)."""
+    kinds = ["u" if c.isupper() else "l" if c.isalpha() else "d" if c.isdigit() else "s" for c in tok]
+    turns = sum(a != b and (a, b) != ("u", "l") for a, b in zip(kinds, kinds[1:]))
+    return "".join(sorted(set(kinds))), min(3, 6 * turns // max(6, len(tok)))
+
+
+def contexts(line: str, names: N.Names) -> list[tuple[int, int, tuple]]:
     """(start, end, emission key) of each token of a line. The key holds all that the features are made of."""
     toks = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(line)]
     shapes = [shape(t) for _, _, t in toks]
     n = len(toks)
     out = []
-    key, rhs, ref, ctx = "none", False, 0, ""
+    key, level, rhs, ref, ctx, called = "none", 0, False, 0, "", False
     pem = bool(_PEM.search(line))
     for i, (a, b, t) in enumerate(toks):
         s = shapes[i]
@@ -170,7 +182,7 @@ def contexts(line: str) -> list[tuple[int, int, tuple]]:
             else:
                 where = "address"
         ref += (s in ("${", "{{", "<")) - (s in ("}", "}}", ">") and ref > 0)
-        out.append((a, b, (s, min(len(t) // 4, 8), key, where, rhs, ref > 0 or s in ("}", "}}", ">") and prev != "=", prev, nxt, pem, glued)))
+        out.append((a, b, (s, min(len(t) // 4, 8), key, where, rhs, ref > 0 or s in ("}", "}}", ">") and prev != "=", prev, nxt, pem, glued, level, *(mixture(t) if len(t) > 3 else ("", 0)), called)))
         # the name that the next value belongs to
         if _IDENT.fullmatch(t) and where in ("", "flag"):
             k = i + 1
@@ -179,17 +191,20 @@ def contexts(line: str) -> list[tuple[int, int, tuple]]:
             if k < n and (toks[k][2] in "=:" or shapes[k] == "symbols" and toks[k][2] == "||" or toks[k][2] == "||" or toks[k][2] == ","):
                 kind = name_kind(t)
                 if toks[k][2] != "," or kind == "cred" and any(toks[j][2].endswith(("env", "get", "environ")) for j in range(max(0, i - 3), i)):
-                    key, rhs = kind, False
+                    key, level, rhs = kind, names.level(t), False
+            elif k < n and toks[k][2] == "(" and _LOGIN.search(t):
+                called = True
         if t in "=:" or t in ("||", ","):
             rhs = key != "none"
     return out
 
 
 def features(e: tuple) -> list[str]:
-    s, size, key, where, rhs, ref, prev, nxt, pem, glued = e
+    s, size, key, where, rhs, ref, prev, nxt, pem, glued, level, mix, turns, called = e
     return [
         "1", f"s={s}", f"s={s},k={key}", f"s={s},w={where}", f"w={where}", f"k={key},r={rhs}", f"s={s},k={key},r={rhs}", f"s={s},n={size}", f"ref={ref}", f"ref={ref},s={s}",
         f"p={prev}", f"p={prev},s={s}", f"x={nxt}", f"x={nxt},s={s}", f"pem={pem}", f"pem={pem},s={s}", f"g={glued},s={s}", f"w={where},p={prev}", f"k={key},p={prev},s={s}",
+        f"l={level},r={rhs}", f"l={level},r={rhs},k={key}", f"l={level},r={rhs},p={prev}", f"l={level},s={s}", f"m={mix},t={turns}", f"t={turns},l={level},r={rhs}", f"c={called},m={mix},t={turns},p={prev}", f"c={called},s={s},x={nxt}",
     ]
 
 
@@ -206,7 +221,7 @@ def _value(r: random.Random, words: list[str]) -> str:
         v = r.choice([
             lambda: "AKIA" + pick(alnum[:26] + "0123456789", 16), lambda: "AIza" + pick(alnum + "-_", 35), lambda: "gh" + r.choice("pos") + "_" + pick(alnum, 36),
             lambda: "sk_live_" + pick(alnum, 24), lambda: "xoxb-" + pick("0123456789", 11) + "-" + pick(alnum, 24), lambda: "eyJhbGciOiJIUzI1NiJ9.eyJ" + pick(alnum + "-_", 40) + "." + pick(alnum + "-_", 43),
-            lambda: "pvs_" + pick(low, 32), lambda: pick("0123456789abcdef", r.choice([32, 40])), lambda: pick(low, r.choice([10, 14, 16, 20])), lambda: pick(alnum, r.choice([10, 12, 16, 24])),
+            lambda: r.choice(["abc_", "key_", "tok_", "prv_"]) + pick(low, 32), lambda: pick("0123456789abcdef", r.choice([32, 40])), lambda: pick(low, r.choice([10, 14, 16, 20])), lambda: pick(alnum, r.choice([10, 12, 16, 24])),
             lambda: pick(alnum + "+/", 40), lambda: pick(alnum + "+//", 40), lambda: pick(alnum, 28) + r.choice(["=", "==", ""]), lambda: pick(alnum, 6) + r.choice("!#%*+-_~") + pick(alnum, 7),
             lambda: cap() + r.choice("!#%*_-") + cap() + pick("0123456789", 2), lambda: cap() + cap() + pick("0123456789", 2), lambda: "-".join(r.choice(words) for _ in range(3)) + "-" + pick("0123456789", r.choice([2, 4])),
         ])()
@@ -217,12 +232,13 @@ def _value(r: random.Random, words: list[str]) -> str:
 def _name(r: random.Random, words: list[str], kind: str, style: str) -> str:
     if kind == "cred":
         parts = r.choice([["password"], ["passwd"], ["pwd"], ["smtp", "pass"], ["db", "password"], ["secret"], ["client", "secret"], ["webhook", "secret"], ["token"], ["auth", "token"], ["access", "token"],
-                          ["private", "token"], ["api", "key"], ["apikey"], ["encryption", "key"], ["signing", "key"], ["redis", "auth"], ["pass"], [r.choice(words), "password"], [r.choice(words), "token"]])
+                          ["private", "token"], ["api", "key"], ["apikey"], ["encryption", "key"], ["signing", "key"], ["redis", "auth"], ["pass"], [r.choice(words), "password"], [r.choice(words), "token"],
+                          [r.choice(N.SECRET)], [r.choice(words), r.choice(N.SECRET)], [r.choice(N.KEYED), "key"], ["session", "key"]])
     elif kind == "safe":
         parts = r.choice([["password", "min", "length"], ["token", "type"], ["api", "key", "header"], [r.choice(words), "commit"], [r.choice(words), "sha256"], [r.choice(words), "etag"], [r.choice(words), "digest"],
                           [r.choice(words), "revision"], ["integrity"], [r.choice(words), "id"], ["token", "ttl"], ["secret", "name"], ["password", "policy"], ["auth", "url"]])
     else:
-        parts = [r.choice(words) for _ in range(r.choice([1, 2]))]
+        parts = r.choice([[r.choice(words)], [r.choice(words), r.choice(words)], [r.choice(N.OTHER)], [r.choice(words), r.choice(["key", "id", "code", "hash", "ref"])]])
     if style == "camel":
         out = parts[0] + "".join(p.title() for p in parts[1:])
     elif style == "dot":
@@ -248,13 +264,25 @@ def training_lines(count: int = SAMPLE, seed: int = SEED) -> list[tuple[str, lis
         form = r.random()
         spans: list[str] = [v]
         kind = "cred"
-        if form < 0.34:  # a named value
+        if r.random() < 0.12:  # short values of names that say it all, logins by position, and values that only look random
+            odd = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(8))
+            word = r.choice([w() + str(r.randrange(10, 99)) + r.choice(["", "x", "z"]), r.choice("abcx") + str(r.randrange(9)), w() + str(r.randrange(9999)), r.choice("XZQ") + odd[:5] + r.choice("!#%*") + odd[5:].upper() + "k"])
+            name, other = _name(r, words, "cred", style), _name(r, words, "other", style)
+            call = r.choice(["db.connect", "client.login", "connect", "session.auth", "ftp.login", "conn.signIn"])
+            line, spans = r.choice([
+                (f"{name}: {word}", [word]), (f"{name}={word}", [word]), (f"export {name}={word}", [word]), (f"{name} = {q}{word}{q}", [word]),
+                (f"{call}({q}{w()}{q}, {q}{word}{q})", [word]), (f"{call}({q}{w()}{q}, {q}{v}{q});", [v]), (f"await {call}({q}{w()}@{host}{q}, {q}{v}{q});", [v]),
+                (f"{call}({q}{w()}{q}, {w()})", []), (f"{call}({q}{w()}{q}, {q}{w()}{q})", []), (f"{w()}({q}{w()}{q}, {q}{odd}{q})", []), (f"  {q}{odd}{q}, {q}{odd[::-1]}{q},", []), (f"{other} = {q}{odd}{q}", []),
+                (f"assert {w()}({q}{odd}{q}) == {q}{odd[::-1]}{q}", []), (f"{w()}Key: {q}{w()}_{w()}{q},", []), (f"sort_key = {q}{w()}_at{q}", []), (f"{w()}_key={w()}", []), (f"_{r.randrange(99)} = Descriptor(name={q}{w()}_{odd[:4]}{q}, id={r.randrange(99)})", []),
+                (f"import {{ {w()} as {w()}{r.randrange(9)} }} from '@/{w()}/{w()}_{odd[:3]}';", []), (f"const {other} = {q}{host}:{odd[:4]}{q};", []), (f"{name}: string;", []), (f"{name}: str = None", []), (f"  {name} = {w()}({w()})", []), (f"if ({name} == {w()}) {{", []),
+            ])
+        elif form < 0.34:  # a named value
             kind = r.choice(["cred", "cred", "cred", "cred", "safe", "other"])
             if kind == "cred":
                 if r.random() < 0.38:
                     v, spans = r.choice(blanks), []
             elif kind == "safe":
-                v = r.choice([str(r.randrange(5, 40)), "bearer", f"X-{w().title()}-Api-Key", v if not KNOWN.match(v) and re.fullmatch("[0-9a-f]+", v) else "%064x" % r.getrandbits(256), "sha512-" + _value(r, words), "%08x-%04x-%04x-%04x-%012x" % (r.getrandbits(32), r.getrandbits(16), r.getrandbits(16), r.getrandbits(16), r.getrandbits(48))])
+                v = r.choice([str(r.randrange(5, 40)), "bearer", f"X-{w().title()}-Api-Key", v if not KNOWN.match(v) and re.fullmatch("[0-9a-f]+", v) else "%064x" % r.getrandbits(256), r.choice(["sha512-", "sha256-", "sha384-", ""]) + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(r.choice([43, 64, 86]))) + r.choice(["", "=="]), "%08x-%04x-%04x-%04x-%012x" % (r.getrandbits(32), r.getrandbits(16), r.getrandbits(16), r.getrandbits(16), r.getrandbits(48))])
                 spans = []
             elif KNOWN.match(v):
                 pass
@@ -318,7 +346,7 @@ def training_lines(count: int = SAMPLE, seed: int = SEED) -> list[tuple[str, lis
                 spans = [f"{head}\\n{b64}\\n-----END {what}PRIVATE KEY-----"]
                 line = r.choice([f'  "{name}": "{spans[0]}",', f"{name}={spans[0]}", f"{name} = {spans[0]}", f'{name}: "{spans[0]}"', f"- {name}={spans[0]}"])
             elif r.random() < 0.4:
-                spans, line = [], r.choice([f"const {name} = `-----BEGIN PUBLIC KEY-----", f'{name} = """-----BEGIN CERTIFICATE-----', f'{w()}_{w()} = "{b64 * 3}"', f"const {w()} = '{b64 * 2}';", f'  "{b64}",', b64])
+                spans, line = [], r.choice([f"const {name} = `-----BEGIN PUBLIC KEY-----", f'{name} = """-----BEGIN CERTIFICATE-----', f'{w()}_{w()} = "{b64 * 3}"', f'{w()}_{w()} = "{b64}"', f"const {w()} = '{b64 * 2}';", f'  "{b64}",', b64])
         else:  # code that only mentions such things
             spans = []
             line = r.choice([f"  const token = await {w()}.next({w()}, {r.randrange(99)});", f"if (password.length < {r.randrange(20)}) return false;", f"def check_token(token, secret):", f"# rotate the secret every {r.randrange(90)} days", f"function auth(req, res, next) {{", f"  return tokens.map((token) => token.{w()});",
@@ -338,8 +366,8 @@ def training_lines(count: int = SAMPLE, seed: int = SEED) -> list[tuple[str, lis
 class Field:
     """A linear-chain CRF over two labels: outside (0) and literal (1)."""
 
-    def __init__(self, weights: dict[str, float], transitions: np.ndarray):
-        self.weights, self.step = weights, transitions.tolist()
+    def __init__(self, weights: dict[str, float], transitions: np.ndarray, words: dict[str, float]):
+        self.weights, self.step, self.words, self.names = weights, transitions.tolist(), words, N.Names(words)
         self.known: dict[tuple, float] = {}
 
     def score(self, e: tuple) -> float:
@@ -352,7 +380,7 @@ class Field:
 
     def spans(self, line: str) -> list[tuple[int, int]]:
         """Spans of the best labelling; neighbouring tokens without a gap are one span."""
-        toks = contexts(line)
+        toks = contexts(line, self.names)
         if not toks:
             return []
         (oo, os_), (so, ss) = self.step
@@ -382,11 +410,13 @@ def fit(lines: list[tuple[str, list[tuple[int, int]]]], rounds: int = 90, penalt
     """Maximum likelihood by full-batch gradient steps (Adam)."""
     names: dict[str, int] = {}
     seqs, golds = [], []
+    words = N.fit()
+    naming = N.Names(words)
     for line, spans in lines:
-        toks = contexts(line)
+        toks = contexts(line, naming)
         seqs.append([[names.setdefault(f, len(names)) for f in features(e)] for _, _, e in toks])
         golds.append([any(a >= x and b <= y for x, y in spans) or any(a < y and b > x for x, y in spans if "PRIVATE KEY" in line[x:y]) for a, b, _ in toks])
-    n, t, k = len(seqs), max(map(len, seqs)), len(features(("",) * 10))
+    n, t, k = len(seqs), max(map(len, seqs)), len(features(("",) * 14))
     ids, mask, gold = np.zeros((n, t, k), np.int32), np.zeros((n, t), bool), np.zeros((n, t), bool)
     for i, (s, g) in enumerate(zip(seqs, golds)):
         if s:
@@ -426,7 +456,7 @@ def fit(lines: list[tuple[str, list[tuple[int, int]]]], rounds: int = 90, penalt
         move = 0.25 * (m1 / (1 - 0.9**it)) / (np.sqrt(m2 / (1 - 0.98**it)) + 1e-6) * min(1.0, 2.0 * (1 - it / (rounds + 1)))
         theta, trans = theta + move[:-4], trans + move[-4:].reshape(2, 2)
 
-    return Field({f: float(theta[i]) for f, i in names.items() if abs(theta[i]) > 1e-4}, trans)
+    return Field({f: float(theta[i]) for f, i in names.items() if abs(theta[i]) > 1e-4}, trans, words)
 
 
 @lru_cache(maxsize=2)
@@ -436,18 +466,25 @@ def model(sample: int = SAMPLE, seed: int = SEED) -> Field:
 
 # ---------------------------------------------------------------- files
 
-#: What a line must hold to be read by the model, in lower case.
+#: What else makes a line read by the model, in lower case: headers, commands, addresses and key formats.
 TRIGGERS = [
-    "pass", "pwd", "secret", "token", "apikey", "api_key", "api-key", "api.key", "signing", "encryption", "auth", "credential", "bearer ", "basic ", "privatekey", "private_key", "private.key",
-    "accesskey", "access_key", "access.key", "master_key", "masterkey", "client_key", "service_key", "account_key", "curl ", " -u ", "--user ", "hooks.", "://hooks", "akia", "asia", "aiza", "eyj", "xox", "ghp_", "gho_", "ghs_", "ghu_", "ghr_",
-    "github_pat_", "glpat-", "sk_live_", "pk_live_", "rk_live_", "sk_test_", "npm_", "sg.", "pvs_", "whsec_", "dop_v1_", "hf_", "-----begin",
+    "bearer ", "basic ", "curl ", " -u ", "--user ", "hooks.", "://hooks", "akia", "asia", "aiza", "eyj", "xox", "ghp_", "gho_", "ghs_", "ghu_", "ghr_",
+    "github_pat_", "glpat-", "sk_live_", "pk_live_", "rk_live_", "sk_test_", "pk_test_", "rk_test_", "npm_", "sg.", "whsec_", "dop_v1_", "hf_", "-----begin", "pass", "pwd", "secret", "token", "auth", "credential",
 ]
-TRIGGERS += sorted(({w + sep + "key" for w in KEY_WORDS for sep in ("", "_", "-", ".")} | {k + t for k in ("sk_", "pk_", "rk_") for t in ("live_", "test_")}) - set(TRIGGERS))
+#: A name before a sign of assignment, where a literal follows on the line, a bare value ends it or nothing is left of it.
+_NAMED = re.compile(r"(?<![\w$.\-])([A-Za-z_$][\w$.\-]*+)[\"'`\])]{0,2}+[ \t]*+(?::=|\?\?|\|\||[=:])(?!=)")
+_LITERAL = re.compile(r"[^\n\"'`]*+[\"'`]|[ \t]*+[(\\]?[^\s(){}\[\],;<>]*+[,; \t\r]*+(?:\n|\Z)")
+#: A key with the prefix of any vendor.
+_PREFIXED = re.compile(r"_(?=[A-Za-z]*\d[A-Za-z]*\d)[A-Za-z0-9]{24}")
+#: Characters from which a line is read by statements.
+LONG = 400
+#: A literal whose letters, digits and signs are mixed.
+_MIXED = re.compile(r"[\"'`](?=[^\"'`\s\\]{0,200}?(?:[A-Za-z]\d+[A-Za-z]|\d[A-Za-z]{1,2}\d|[A-Za-z0-9][!#%^&*~+][A-Za-z0-9]))[^\"'`\s\\]{6,200}[\"'`]")
 #: How a line ends whose value begins on the next line, and how one begins that only looks so.
 _VALUE_BELOW = re.compile(r"[\w\"'`\]]\s*(?::=|[=:]|\|\||\?\?)\s*[(\\]?$")
 _NO_NAME = re.compile(r"\s*(?:\}\s*)?(?:if|elif|else|while|for|with|def|class|try|except|case|default|switch|lambda|async)\b")
 #: Triggers that count only where a word begins, in either case style.
-_WORDS = {"pass", "pwd", "secret", "token", "auth", "signing", "encryption", "asia", "sg.", "hf_", "eyj", "xox", "credential", "akia", "aiza"}
+_WORDS = {"pass", "pwd", "secret", "token", "auth", "asia", "sg.", "hf_", "eyj", "xox", "credential", "akia", "aiza"}
 _USERINFO = re.compile(r"://[^\s/\"'`@:]+:[^\s/\"'`@]+@")
 
 
@@ -469,8 +506,8 @@ def _below(lines: str) -> bool:
     return bool(_VALUE_BELOW.search(last[-200:])) and not _NO_NAME.match(last)
 
 
-def candidate_lines(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the lines with a trigger, in order, each with the lines below it that hold the value of its name."""
+def candidate_lines(text: str, names: N.Names) -> list[tuple[int, int]]:
+    """(start, end) of the lines to read, in order, each with the lines below it that hold the value of its name."""
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length; such texts are read in their own case and in capitals
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -482,7 +519,11 @@ def candidate_lines(text: str) -> list[tuple[int, int]]:
         hits.append(at)
     if "://" in low:
         hits += [m.start() for m in _USERINFO.finditer(text)]
-        hits.sort()
+    level, known = names.level, names.names
+    hits += [m.start() for m in _NAMED.finditer(text) if (known.get(m[1]) or level(m[1])) > 1 and _LITERAL.match(text, m.end())]
+    hits += [m.start() for m in _MIXED.finditer(text)]
+    hits += [m.start() for m in _PREFIXED.finditer(text)]
+    hits.sort()
     out, done = [], -1
     for at in hits:
         if at < done:
@@ -493,21 +534,30 @@ def candidate_lines(text: str) -> list[tuple[int, int]]:
         while done < len(text) and _below(text[start:done]):
             done = text.find("\n", done + 1)
             done = len(text) if done < 0 else done
+        if done - start > LONG:
+            start, done = _statement(text, start, at, done)
         out.append((start, done))
         done += 1
     return out
 
 
+def _statement(text: str, start: int, at: int, end: int) -> tuple[int, int]:
+    """The part of a long line between semicolons around a place; quotes are kept whole."""
+    a = max(start, text.rfind(";", start, at) + 1)
+    b = text.find(";", at, end)
+    while b >= 0 and (text.count('"', a, b) % 2 or text.count("'", a, b) % 2 or text.count("`", a, b) % 2):
+        b = text.find(";", b + 1, end)
+    return a, end if b < 0 else b
+
+
 def credential_spans(text: str, field: Field) -> list[tuple[int, int, bool]]:
     """(start, end, begins a finding) of all literal characters of credentials; a key block has one finding."""
     out: list[tuple[int, int, bool]] = []
     skip = 0
-    for start, end in candidate_lines(text):
+    for start, end in candidate_lines(text, field.names):
         if end <= skip:
             continue
         line = text[start:end]
-        if len(line) < 9:
-            continue
         spans = field.spans(line)
         pem = _PEM.search(line)
         if pem and spans:
@@ -518,7 +568,7 @@ def credential_spans(text: str, field: Field) -> list[tuple[int, int, bool]]:
             continue
         for a, b in spans:
             bare = line[a:b].strip("\"'` ,;")
-            if len(bare) < 4 or bare.lower() in PLACEHOLDERS or _MASKED.fullmatch(bare):
+            if len(bare) < 2 or bare.lower() in PLACEHOLDERS or _MASKED.fullmatch(bare):
                 continue
             out.append((start + a, start + b, True))
     return out
@@ -550,7 +600,7 @@ def redacted(text: str, field: Field) -> str:
 
 def _weights(spark: SparkSession):
     field = model()
-    return spark.sparkContext.broadcast((field.weights, field.step))  # a few hundred numbers
+    return spark.sparkContext.broadcast((field.weights, field.step, field.words))  # some ten thousand numbers
 
 
 def credential_lines(files: DataFrame) -> DataFrame:
@@ -558,7 +608,7 @@ def credential_lines(files: DataFrame) -> DataFrame:
     told = _weights(files.sparkSession)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = Field(told.value[0], np.array(told.value[1]))
+        field = Field(told.value[0], np.array(told.value[1]), told.value[2])
         for pdf in batches:
             rows = [(i, n) for i, t in zip(pdf.file_id, pdf.text) for n in found_lines(t, field)]
             yield pd.DataFrame(rows, columns=["file_id", "line_no"])
@@ -572,7 +622,7 @@ def redacted_files(files: DataFrame) -> DataFrame:
     told = _weights(files.sparkSession)
 
     def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = Field(told.value[0], np.array(told.value[1]))
+        field = Field(told.value[0], np.array(told.value[1]), told.value[2])
         for pdf in batches:
             yield pd.DataFrame({"file_id": pdf.file_id, "text": [t if t is None else redacted(t, field) for t in pdf.text]})
 
