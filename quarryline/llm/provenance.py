@@ -48,8 +48,10 @@ FAMILY_REPEATS, FAMILY = 0.25, 3
 MIN_FORM = 8
 #: Similarity from which another repository's form speaks against a family of one repository.
 FOREIGN = 0.5
-#: Members of a bucket that are compared at a time; changes speed only.
-SLICE = 512
+#: Members of a bucket that are compared at a time, and bands that are tried before the others; they change speed only.
+SLICE, FIRST_BANDS = 512, 3
+#: Different values that texts of one form are counted by: two texts fall together once in so many.
+COUNTED = 4096
 #: Share of the code's characters in one run of literals, and characters of that run, that make a file data.
 LITERAL, LITERAL_CHARS = 0.88, 400
 #: Mean length of names and share of white space under which code of some size is minified.
@@ -316,11 +318,12 @@ def near(members: DataFrame, own: bool, least: float) -> DataFrame:
 def nodes(rows: DataFrame, signature: str, keys: str, ask: Column) -> DataFrame:
     """(node, repo, look, n, ask, signature, bands): one row for each signature of a repository with its number of texts.
 
-    ``look`` is the same for equal signatures of all repositories. A null repository is one of its own.
+    ``look`` is the same for equal signatures of all repositories. A null repository is one of its own. Texts are
+    counted in a set of at most COUNTED values, whatever their number.
     """
     each = rows.where(F.size(keys) > 0).select(F.xxhash64(F.coalesce("repo_id", F.lit(""))).alias("repo"), F.xxhash64(signature).alias("look"), "text", ask.alias("ask"), F.col(signature).alias("signature"), F.col(keys).alias("bands"))
-    texts = each.groupBy("repo", "look", "text").agg(F.max("ask").alias("ask"), F.min("signature").alias("signature"), F.first("bands").alias("bands"))
-    one = texts.groupBy("repo", "look").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("ask"), F.min("signature").alias("signature"), F.first("bands").alias("bands"))
+    one = each.groupBy("repo", "look").agg(
+        F.size(F.collect_set(F.pmod("text", F.lit(COUNTED)).cast("int"))).alias("n"), F.max("ask").alias("ask"), F.min("signature").alias("signature"), F.first("bands").alias("bands"))
     return one.withColumn("node", F.xxhash64("repo", "look"))
 
 
@@ -355,10 +358,16 @@ def families(rows: DataFrame, ask: Column) -> DataFrame:
     shared = keyed.groupBy("band").agg(F.sum("n").alias("_n"), F.max("ask").alias("_ask")).where((F.col("_n") >= 2) & F.col("_ask")).select("band")
     sketches = form.select("node", "signature")
     family = checkpointed(alone.unionByName(near(keyed.join(shared, "band", "left_semi").join(sketches, "node"), True, SIMILAR)))
-    everywhere = form.select("node", "repo", "n", F.explode("bands").alias("band")).join(family.withColumn("_in", F.lit(True)), "node", "left")
-    wanted = everywhere.where("_in").select("band").distinct()
-    asked = everywhere.join(wanted, "band", "left_semi").select("band", "node", "repo", "n", F.coalesce("_in", F.lit(False)).alias("ask"))
-    far = near(asked.join(sketches, "node"), False, FOREIGN).withColumn("elsewhere", F.lit(True))
+    # whoever has company elsewhere mostly meets it in the first bands; the rest of the bands are for the others
+    far = None
+    for some in (F.slice("bands", 1, FIRST_BANDS), F.slice("bands", FIRST_BANDS + 1, BANDS)):
+        asking = family if far is None else family.join(far, "node", "left_anti")
+        everywhere = form.select("node", "repo", "n", F.explode(some).alias("band")).join(asking.withColumn("_in", F.lit(True)), "node", "left")
+        wanted = everywhere.where("_in").select("band").distinct()
+        asked = everywhere.join(wanted, "band", "left_semi").select("band", "node", "repo", "n", F.coalesce("_in", F.lit(False)).alias("ask"))
+        told = near(asked.join(sketches, "node"), False, FOREIGN)
+        far = checkpointed(told) if far is None else far.unionByName(told)
+    far = far.withColumn("elsewhere", F.lit(True))
     return family.join(far, "node", "left").select("node", F.coalesce("elsewhere", F.lit(False)).alias("elsewhere"))
 
 
