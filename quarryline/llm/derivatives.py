@@ -13,14 +13,10 @@ from __future__ import annotations
 import re
 
 END = 0
-#: Nodes kept before a worker starts afresh; changes speed only.
+#: Nodes kept before those that the state does not hold are dropped; changes speed only.
 MEMORY = 600_000
 
 
-class TooComplex(Exception):
-    """A text whose readings multiply beyond the memory."""
-
-
 class Node:
     __slots__ = ("d", "op", "a", "b", "n")
 
@@ -56,6 +52,7 @@ class Grammar:
     def forget(self) -> None:
         """Drop all nodes and build the rules again."""
         self.made: dict = {}
+        self.limit = MEMORY
         self.empty, self.eps = Node("empty"), Node("eps")
         self.rules = {name: Node("ref", name) for name in self.source}
         self.bodies = {name: self._parse(body) for name, body in self.source.items()}
@@ -67,8 +64,6 @@ class Grammar:
         key = (op, id(a) if isinstance(a, Node) else a, id(b) if isinstance(b, Node) else b)
         node = self.made.get(key)
         if node is None:
-            if len(self.made) > 2 * MEMORY:
-                raise TooComplex
             node = self.made[key] = Node(op, a, b)
         return node
 
@@ -170,7 +165,11 @@ class Grammar:
             if op == "seq":
                 known = self.nullable(n.a, t) and self.nullable(n.b, t)
             elif op == "alt":
-                known = any(self.nullable(m, t) for m in n.a)
+                known = False
+                for m in n.a:  # no generator: the depth of a text must not use up the machine's stack
+                    if self.nullable(m, t):
+                        known = True
+                        break
             elif op == "ref":
                 known = self.nullable(self.bodies[n.a], t)
             elif op == "guard":
@@ -213,6 +212,30 @@ class Grammar:
         """The state n after a line break."""
         return n if n.op == "line" else self._node("line", n)
 
+    def lean(self, state: Node) -> Node:
+        """The same state after all nodes that neither it nor a rule holds have been dropped, with their derivatives.
+
+        A text of any length and depth can so be read on in bounded memory: what is dropped is derived again when it is
+        needed. Where the state itself is large the limit grows with it, so no text is given up.
+        """
+        kept, todo = {}, [state, *self.bodies.values(), *self.rules.values()]
+        while todo:
+            n = todo.pop()
+            if id(n) not in kept:
+                kept[id(n)] = n
+                n.d.clear()
+                n.n.clear()
+                todo += n.a if n.op == "alt" else [x for x in (n.a, n.b) if isinstance(x, Node)]
+        self.empty.d.clear(), self.eps.d.clear()
+        self.made = {}
+        for n in kept.values():
+            if n.op == "alt":
+                self.made["alt", frozenset(map(id, n.a))] = n
+            elif n.op not in ("empty", "eps", "ref"):
+                self.made[n.op, id(n.a) if isinstance(n.a, Node) else n.a, id(n.b) if isinstance(n.b, Node) else n.b] = n
+        self.limit = max(MEMORY, 2 * len(self.made))
+        return state
+
     def fresh(self) -> Node:
         """The first state; nodes are dropped when there are too many."""
         if len(self.made) > MEMORY:

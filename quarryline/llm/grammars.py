@@ -446,7 +446,7 @@ def careful(text: str, g: Grammar, jsx: bool):
     words = JS_HARD | JS_SOFT | (TS_SOFT if g is TS else set())
     token, kinds = _CAREFUL[id(g)].match, g.kinds
     kind, error = kinds.__getitem__, kinds["ERROR"]
-    at, size, operand = 0, len(text), True
+    at, size, operand, named = 0, len(text), True, False  # named: the tag has an attribute
     braces: list[str] = []  # what each open brace is: '{', '${' (template) or 'J' (JSX)
     tags: list[str] = []
     if text.startswith("#!"):
@@ -469,6 +469,7 @@ def careful(text: str, g: Grammar, jsx: bool):
                 yield kind("JCLOSE" if close else "JOPEN"), at, False
                 at = close.end() if close else at + 1
                 tags.append("/" if close else "")
+                named = False
             elif c in "}>":
                 yield kind("ERROR"), at, False
                 at += 1
@@ -517,7 +518,21 @@ def careful(text: str, g: Grammar, jsx: bool):
                 if m := _JSTR.match(text, _SKIP.match(text, at).end()):
                     yield kind("JSTR"), m.start(), False
                     at = m.end()
+            elif c == "<" and g is TS and tags[-1] not in ("", "/") and not named:  # type arguments of a tag
+                depth = 0
+                while at < size:
+                    at = _SKIP.match(text, at).end()
+                    m = token(text, at)
+                    if not m:
+                        yield error, at, False
+                        return
+                    yield kinds.get(m[0], error) if m.lastindex == 5 else kind("STR" if m.lastindex == 2 else "NUM" if m.lastindex == 3 else m[0] if m[0] in words else "NAME"), at, False
+                    at = m.end()
+                    depth += {"<": 1, ">": -1}.get(m[0], 0)
+                    if not depth:
+                        break
             elif m := _JNAME.match(text, at):
+                named = tags[-1] not in ("", "/")
                 if tags[-1] in ("", "/"):
                     tags[-1] += m[0]
                 yield kind("JNAME"), at, False
@@ -570,7 +585,7 @@ def careful(text: str, g: Grammar, jsx: bool):
         ):
             yield kind("JOPEN"), at, line
             mode.append("tag"), tags.append("")
-            at += 1
+            at, named = at + 1, False
             continue
         m = token(text, at)
         if not m:

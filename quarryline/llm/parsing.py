@@ -1,19 +1,20 @@
 """Source files that do not parse (problem 4).
 
 The tokens of a file are taken one by one from the language of its extension by memoised derivatives. An empty
-derivative gives the exact token that fails; a last derivative that is not nullable gives a truncated file. A Python
-or JSON file that fails is then put to the exact parser of the standard library, which may clear it. Scripts are first
+derivative gives the exact token that fails; a last derivative that is not nullable gives a truncated file. What they
+refuse is invalid. A Python file that they accept is then put to the standard parser, which knows what the grammar lets
+be (the fields of f-strings, targets, the order of arguments) and may refuse it. Scripts are first
 read with a fast lexer, and where that fails again with one that follows templates and JSX.
 
-Defined results: null texts take no part, empty texts are valid; a text nested too deeply, or with too many
-readings, to be judged counts as valid; extensions other than py, js, mjs, cjs, jsx, ts, tsx
-and json are not judged; redelivered rows count once; further columns are ignored.
+Defined results: null texts take no part, empty texts are valid; no depth and no number of readings makes a text pass:
+nodes that the state no longer holds are dropped on the way; extensions other than py, js, mjs, cjs, jsx, ts, tsx
+and json are not judged; redelivered rows count once, by their last delivery; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import ast
-import json
+import sys
 import warnings
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.paths import extension, language
 from quarryline.llm import grammars as G
-from quarryline.llm.derivatives import END, Grammar, TooComplex
+from quarryline.llm.derivatives import END, Grammar
+from quarryline.session import has
 
 CHECKED = [".py", ".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".json"]
 
@@ -141,6 +143,8 @@ def _read_python(text: str):
             state = state.d[k]
         except KeyError:
             state = derive(state, k)
+            if len(g.made) > g.limit:
+                state = g.lean(state)
     if depth:
         return state
     # the end of the text also ends the last line, and every block
@@ -176,6 +180,8 @@ def _place_python(text: str) -> Verdict:
             steps = [k]
         for k in steps:
             state = derive(state, k)
+        if len(g.made) > g.limit:
+            state = g.lean(state)
         if bad or state is g.empty:
             at = m.end(1) if tok[:1] == "\n" else m.start(1)
             return _at(text, max(0, at - 1), "token")
@@ -212,6 +218,8 @@ def parse_json(text: str) -> Verdict | None:
             state = state.d.get(k) or derive(state, k)
             if state is empty:
                 return _at(text, m.start(1), "token")
+            if len(g.made) > g.limit:
+                state = g.lean(state)
     return None if g.nullable(state, END) else Verdict("truncated", text.count("\n") + 1, "")
 
 
@@ -255,6 +263,8 @@ def _fast_script(text: str, g: Grammar) -> bool:
                 nxt = derive(state, k)
             state.d[k] = nxt
             state = nxt
+            if len(g.made) > g.limit:
+                state = g.lean(state)
     return g.nullable(state, END)
 
 
@@ -268,16 +278,20 @@ def parse_script(text: str, typed: bool, jsx: bool) -> Verdict | None:
         state = derive(state, k | 1 if line else k)
         if state is empty:
             return _at(text, at, "token")
+        if len(g.made) > g.limit:
+            state = g.lean(state)
     return None if g.nullable(state, END) else Verdict("truncated", text.count("\n") + 1, "")
 
 
 def _ast(text: str) -> Verdict | None:
-    """What the standard parser has against a text."""
+    """What the standard parser has against a text that the grammar accepts; nothing where it is too deep for it."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text)
     except SyntaxError as e:
+        if str(e.msg).startswith("too many nested"):
+            return None
         line = max(1, e.lineno or 1)
         rows = text.split("\n")
         return Verdict("token", line, rows[line - 1][max(0, (e.offset or 1) - 1) :][:20] if line <= len(rows) else "")
@@ -288,46 +302,24 @@ def _ast(text: str) -> Verdict | None:
     return None
 
 
-def _json(text: str) -> bool:
-    def no(_):
-        raise ValueError
-
-    try:
-        json.loads(text, parse_constant=no)
-    except (ValueError, RecursionError):
-        return False
-    return True
-
-
-def _judge_once(text: str, ext: str) -> Verdict | None:
-    if ext == ".py":
-        v = parse_python(text)
-        exact = _ast(text.removeprefix("\ufeff"))  # the grammar lets targets and the order of arguments be
-        return exact and (v or exact)
-    if ext == ".json":
-        v = parse_json(text)
-        return None if v and _json(text) else v
-    return parse_script(text, ext in (".ts", ".tsx"), ext in (".jsx", ".tsx"))
+#: Calls that may stand within each other; they are Python's own and use no stack of the machine.
+DEPTH = 50_000_000
 
 
 def judge(text: str | None, ext: str) -> Verdict | None:
     """What is wrong with a text in the language of the extension; None for valid."""
     if not text:
         return None
-    try:
-        return _judge_once(text, ext)
-    except (RecursionError, TooComplex):
-        pass
-    # the nodes of other files count no longer
-    for g in (G.PY, G.JS_ON, G.JS, G.TS):
-        g.forget()
-    try:
-        return _judge_once(text, ext)
-    except (RecursionError, TooComplex):
-        return _ast(text) if ext == ".py" else None
+    if sys.getrecursionlimit() < DEPTH:
+        sys.setrecursionlimit(DEPTH)
+    if ext == ".py":
+        return parse_python(text) or _ast(text.removeprefix("\ufeff"))
+    if ext == ".json":
+        return parse_json(text)
+    return parse_script(text, ext in (".ts", ".tsx"), ext in (".jsx", ".tsx"))
 
 
-_JUDGED = "file_id bigint, repo_id string, language string, valid boolean, reason string, line int, token string"
+_JUDGED = "file_id bigint, repo_id string, language string, valid boolean, reason string, line int, token string, arrived_at timestamp_ntz"
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,23 +328,29 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({
             "file_id": pdf.file_id, "repo_id": pdf.repo_id, "language": pdf.language, "valid": [v is None for v in found],
             "reason": [v and v.reason for v in found], "line": pd.array([v.line if v else None for v in found], dtype="Int32"),
-            "token": [v and v.token for v in found]})
+            "token": [v and v.token for v in found], "arrived_at": pdf.arrived_at})
 
 
 def judged_files(files: DataFrame) -> DataFrame:
-    """Verdict of each delivered row: (file_id, repo_id, language, valid, reason, line, token). No shuffle."""
-    rows = files.select("file_id", "repo_id", extension(F.col("path")).alias("ext"), language(F.col("path")).alias("language"), "text")
+    """Verdict of each delivered row: (file_id, repo_id, language, valid, reason, line, token, arrived_at). No shuffle."""
+    rows = files.select("file_id", "repo_id", extension(F.col("path")).alias("ext"), language(F.col("path")).alias("language"), "text", has(files, "arrived_at", "timestamp_ntz").cast("timestamp_ntz"))
     rows = rows.where(F.col("text").isNotNull() & F.col("ext").isin(*CHECKED))
     return rows.mapInPandas(_judge, _JUDGED)
 
 
+def _last(files: DataFrame) -> DataFrame:
+    """The verdict of each file's last delivery; of equally late ones the invalid one. Only verdicts are shuffled."""
+    cols = ["repo_id", "language", "valid", "reason", "line", "token"]
+    rank = F.struct("arrived_at", (~F.col("valid")).alias("_bad"), *cols)
+    return judged_files(files).groupBy("file_id").agg(F.max_by(F.struct(*cols), rank).alias("_v")).select("file_id", "_v.*")
+
+
 def broken_files(files: DataFrame) -> DataFrame:
     """Files that do not parse, one row each."""
-    return judged_files(files).where("not valid").groupBy("file_id").agg(F.first("repo_id").alias("repo_id"), F.first("language").alias("language"), F.first("reason").alias("reason"), F.first("line").alias("line"), F.first("token").alias("token"))
+    return _last(files).where("not valid").drop("valid")
 
 
 def broken_rates(files: DataFrame) -> DataFrame:
     """(repo_id, language, files, broken, rate); a file counts once."""
-    one = judged_files(files).groupBy("file_id", "repo_id", "language").agg(F.min("valid").alias("valid"))
-    out = one.groupBy("repo_id", "language").agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.col("valid")).alias("broken"))
+    out = _last(files).groupBy("repo_id", "language").agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.col("valid")).alias("broken"))
     return out.withColumn("rate", F.col("broken") / F.col("files"))

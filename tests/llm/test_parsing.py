@@ -103,13 +103,33 @@ def test_right_targets_of_typescript(text):
     assert P.judge(text, ".ts") is None
 
 
-def test_too_complex_texts_are_judged_again(monkeypatch):
-    once = P._judge_once
-    calls = []
-    def first_fails(text, ext):
-        calls.append(text)
-        if len(calls) == 1:
-            raise P.TooComplex
-        return once(text, ext)
-    monkeypatch.setattr(P, "_judge_once", first_fails)
-    assert P.judge("a b c", ".js") is not None
+def test_no_size_makes_a_text_pass():
+    for text, ext in (("[" * 30_000 + "]" * 29_999, ".json"), ("x = " + "(" * 20_000 + "1" + ")" * 19_999, ".js"), ("x = " + "(" * 5_000 + "1" + ")" * 4_999 + "\n", ".py"), ("x = " + "(" * 5_000 + "1 2" + ")" * 5_000, ".ts")):
+        assert P.judge(text, ext) is not None
+    assert P.judge("[" * 30_000 + "]" * 30_000, ".json") is None
+
+
+def test_dropping_nodes_changes_no_verdict(monkeypatch):
+    texts = [(e, t) for table in (GOOD, BAD) for e, ts in table.items() for t in ts]
+    before = [P.judge(t, e) for e, t in texts]
+    for g in (P.G.PY, P.G.JS_ON, P.G.JS, P.G.TS):
+        g.limit = 50
+        lean = g.lean
+        monkeypatch.setattr(g, "lean", lambda state, g=g, lean=lean: (lean(state), setattr(g, "limit", len(g.made) + 50))[0])
+    assert [P.judge(t, e) for e, t in texts] == before
+    for g in (P.G.PY, P.G.JS_ON, P.G.JS, P.G.TS):
+        g.forget()
+
+
+def test_type_arguments_of_tags():
+    assert P.judge('const a = <Foo<string> x="1" />;', ".tsx") is None and P.judge("const a = <A.B<Map<string, C[]>> x={1}>t</A.B>;", ".tsx") is None
+    assert P.judge('const a = <Foo x<string>="1" />;', ".tsx") is not None and P.judge('const a = <Foo<string x="1" />;', ".tsx") is not None
+    assert P.judge('const a = <Foo<string> x="1" />;', ".jsx") is not None
+
+
+def test_the_last_delivery_counts(spark):
+    from datetime import datetime
+
+    rows = [(1, "r", "a.py", "x = ", datetime(2024, 1, 1)), (1, "r", "a.py", "x = 1", datetime(2024, 1, 2)), (2, "r", "b.py", "x = 1", datetime(2024, 1, 1)), (2, "r", "b.py", "x = (", datetime(2024, 1, 2))]
+    f = spark.createDataFrame(rows, "file_id bigint, repo_id string, path string, text string, arrived_at timestamp_ntz")
+    assert {r.file_id: r.token for r in P.broken_files(f).collect()} == {2: ""}
