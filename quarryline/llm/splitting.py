@@ -6,9 +6,10 @@ limit is found by binary search, first among blocks, then lines, then tokens; wh
 hard between two characters. The next piece begins the overlap before that end.
 
 Defined results: a text not over its limit, an empty or a null text yields no pieces; a language without a limit is not
-split; redelivered rows count once (the last delivery); an overlap that does not leave room for progress is cut to half
-the limit; further columns are ignored. A cut never lies inside a character, so an overlap may be up to three bytes
-longer than asked. A limit under four bytes is taken as four.
+split; redelivered rows count once (the last delivery), by which it is decided whether a file is over its limit; an overlap
+that is not under the limit is refused; further columns are ignored. A cut never lies inside a character, so an overlap
+may be up to three bytes longer than asked, and where that would leave no progress as much shorter. A limit under four
+bytes is taken as four.
 """
 
 from __future__ import annotations
@@ -46,7 +47,9 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     limit = max(limit, 4)
     if size <= limit:
         return [(0, size, "end")] if size else []
-    overlap = max(0, min(overlap, limit // 2 - 3)) if overlap + 4 > limit // 2 else max(0, overlap)
+    overlap = max(0, overlap)
+    if overlap >= limit:
+        raise ValueError(f"an overlap of {overlap} bytes leaves nothing of a limit of {limit}")
     tiers = [("block", offsets(text, _BLOCK)), ("line", offsets(text, re.compile("\n"))), ("token", offsets(text, _TOKEN))]
 
     def whole(at: int) -> int:  # back to the first byte of a character
@@ -57,7 +60,7 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     out, start = [], 0
     while size - start > limit:
         # a block is worth a piece of at least half the limit; lines and tokens only have to make progress
-        for (name, ends), least in zip(tiers, (limit // 2, overlap + 4, overlap + 4)):
+        for (name, ends), least in zip(tiers, (max(limit // 2, overlap + 4), overlap + 4, overlap + 4)):
             k = bisect_right(ends, start + limit)
             if k and ends[k - 1] >= start + least:
                 end = ends[k - 1]
@@ -65,7 +68,12 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
         else:
             name, end = "hard", whole(start + limit)
         out.append((start, end, name))
-        start = whole(end - overlap)
+        back = whole(end - overlap)
+        while back <= start or whole(back + limit) <= end:  # the next piece must reach further
+            back += 1
+            while raw[back] & 0xC0 == 0x80:
+                back += 1
+        start = back
     return [*out, (start, size, "end")]
 
 
@@ -82,14 +90,13 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def split_oversized(files: DataFrame, limits: DataFrame) -> DataFrame:
     """Pieces of every file over its language's limit: (file_id, piece, start, end, boundary, text).
 
-    Sizes are compared in the JVM and only oversized texts go on. ``limits`` has one row per language.
+    Sizes are compared in the JVM. The last delivery of a file is found on narrow rows, and only texts that are oversized
+    go on. ``limits`` has one row per language.
     """
     one = limits.groupBy("language").agg(F.min_by(F.struct("max_bytes", "overlap_bytes"), "max_bytes").alias("_l")).select("language", "_l.*")
-    over = (
-        files.where("text is not null and file_id is not null")
-        .select("file_id", language(F.col("path")).alias("language"), "text", "arrived_at")
-        .join(one, "language")
-        .where(F.octet_length("text") > F.col("max_bytes"))
-    )
-    last = over.groupBy("file_id").agg(F.max_by(F.struct("text", "max_bytes", "overlap_bytes"), F.struct("arrived_at", "text")).alias("_r"))
-    return last.select("file_id", "_r.*").mapInPandas(_split, PIECE)
+    rows = files.where("text is not null and file_id is not null").select("file_id", language(F.col("path")).alias("language"), "text", "arrived_at").join(one, "language", "left")
+    over = F.coalesce(F.octet_length("text") > F.col("max_bytes"), F.lit(False))
+    # the text goes along only where it is oversized
+    slim = rows.select("file_id", "arrived_at", over.alias("over"), F.when(over, F.col("text")).alias("text"), "max_bytes", "overlap_bytes")
+    last = slim.groupBy("file_id").agg(F.max_by(F.struct("over", "text", "max_bytes", "overlap_bytes"), F.struct("arrived_at", "over", "text")).alias("_r"))
+    return last.where("_r.over").select("file_id", "_r.text", "_r.max_bytes", "_r.overlap_bytes").mapInPandas(_split, PIECE)

@@ -7,18 +7,29 @@ SAME = [("K", "\u212a"), ("file", "\ufb01le"), ("abc", "\uff41\uff42\uff43"), ("
 DIFFERENT = [("a", "A"), ("o", "0"), ("l", "1"), ("e", "é"), ("и", "й"), ("rn", "m"), ("a b", "ab"), ("a b", "a  b"), ("a b", "a\nb"), ("x2", "x²"), ("ss", "ß"), ("α", "ά"), ("1", "①")]
 
 
+#: Pairs of the public table beyond the usual swaps.
+SAME += list(zip("αρυγɑɡгıᴏᎪꓮ–", "apuyagrioAA-"))
+DIFFERENT += [("œ", "oe"), ("æ", "ae"), ("×", "x"), ("I", "l"), ("|", "l"), ("ă", "ǎ"), ("—", "-"), ("Φ", "O")]
+
+
+@pytest.fixture(scope="module")
+def look(spark):
+    across = L.Prototypes(L.confusables(spark))
+    return lambda text: L.skeleton(text, across)
+
+
 @pytest.mark.parametrize("a, b", SAME)
-def test_same_look(a, b):
-    assert L.skeleton(a) == L.skeleton(b)
+def test_same_look(look, a, b):
+    assert look(a) == look(b)
 
 
 @pytest.mark.parametrize("a, b", DIFFERENT)
-def test_other_look(a, b):
-    assert L.skeleton(a) != L.skeleton(b)
+def test_other_look(look, a, b):
+    assert look(a) != look(b)
 
 
-def test_consistent_form_keeps_the_script():
-    assert L.consistent("ｆｉｌｅ\u200b сор\u0435") == "file соре" and L.consistent(None) is None and L.skeleton("") == ""
+def test_consistent_form_keeps_the_script(look):
+    assert L.consistent("ｆｉｌｅ\u200b сор\u0435") == "file соре" and L.consistent(None) is None and look("") == ""
 
 
 DOC = "doc_id bigint, text string, look string, _s string"
@@ -35,13 +46,18 @@ def test_pairs(spark):
     assert L.lookalike_pairs(d.limit(0)).count() == 0
 
 
-def test_pairs_equal_brute_force(spark, small):
+def test_pairs_equal_brute_force(spark, small, look):
     d = spark.read.parquet(f"{small}/documents.parquet")
-    rows = [(r.doc_id, r.text, L.skeleton(r.text)) for r in d.select("doc_id", "text").collect() if r.text and L.skeleton(r.text).strip()]
+    rows = [(r.doc_id, r.text, look(r.text)) for r in d.select("doc_id", "text").collect() if r.text and look(r.text).strip()]
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and a[2] == b[2]}
     assert {tuple(r) for r in L.lookalike_pairs(d).collect()} == want
 
 
 def test_classes(spark):
-    got = {r.doc_id: (r.class_id, r.spellings) for r in L.lookalike_classes(docs(spark, "cope", "соре", "x", None)).collect()}
-    assert got == {0: (0, 2), 1: (0, 2), 2: (2, 1), 3: (None, None)}
+    got = {r.doc_id: (r.class_id, r.spellings, r.links) for r in L.lookalike_classes(docs(spark, "cope", "соре", "x", None, "cope", "", "\u200b")).collect()}
+    assert got == {0: (0, 2, 1), 1: (0, 2, 2), 2: (2, 1, 0), 3: (None, None, 0), 4: (0, 2, 1), 5: (None, None, 0), 6: (None, None, 0)}
+
+
+def test_links_of_classes_are_the_pairs(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    assert sum(r.links for r in L.lookalike_classes(d).collect()) == 2 * L.lookalike_pairs(d).count()

@@ -41,6 +41,21 @@ def test_overlap_is_as_asked():
     assert all(b - c == 12 for (_, b, _), (c, _, _) in zip(out, out[1:]))
 
 
+@pytest.mark.parametrize("overlap", [499, 600, 990])
+def test_large_overlaps_are_kept(overlap):
+    out = check("a b c d e\n" * 1000, 1000, overlap)
+    assert all(b - c == overlap for (_, b, _), (c, _, _) in zip(out, out[1:]))
+    check("😀é" * 60, 20, 17)
+    with pytest.raises(ValueError):
+        S.pieces("x" * 2000, 1000, 1000)
+
+
+def test_an_earlier_oversized_delivery_does_not_answer(spark):
+    rows = [(1, "a.py", "x" * 20, T(2025, 1, 1), "x", 1), (1, "a.py", "x", T(2025, 1, 2), "x", 1), (2, "a.py", "x", T(2025, 1, 1), "x", 1), (2, "a.py", "x" * 11, T(2025, 1, 2), "x", 1)]
+    got = S.split_oversized(spark.createDataFrame(rows, FILE), spark.createDataFrame([("py", 10, 2)], LIMIT)).collect()
+    assert {r.file_id for r in got} == {2}
+
+
 def test_no_piece_for_small_empty_or_null_texts(spark):
     rows = [(1, "a.py", "x" * 11), (2, "a.py", "x" * 10), (3, "a.py", ""), (4, "a.py", None), (5, "a.zzz", "x" * 99), (6, None, "x" * 99), (7, "b.py", "é" * 6), (1, "a.py", "x" * 11), (None, "a.py", "x" * 30)]
     f = spark.createDataFrame([(*r, T(2025, 1, 1), "x", 1) for r in rows], FILE)
