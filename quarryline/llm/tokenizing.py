@@ -17,11 +17,12 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Where the vocabulary files are; a parameter of every operator here.
+#: Where the vocabulary files are on the driver; a parameter of every operator here. Executors get the file they need.
 FOLDER = "/opt/tokenizers"
 #: Fixed value: the pattern that the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -118,8 +119,15 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    return Encoder(path)
+    """One encoder per worker process and vocabulary; the file is the one sent along where there is none at the path."""
+    return Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def share_vocabulary(spark: SparkSession, vocabulary: str, folder: str) -> None:
+    """Send the vocabulary's file to every executor, once per session."""
+    path = os.path.join(folder, f"{vocabulary}.tiktoken")
+    if os.path.basename(path) not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
+        spark.sparkContext.addFile(path)
 
 
 def token_ids(text: Column, vocabulary: str = "byte_bpe_50k", folder: str = FOLDER) -> Column:
@@ -150,4 +158,5 @@ def token_count(text: Column, vocabulary: str = "byte_bpe_50k", folder: str = FO
 
 def encode_corpus(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """(doc_id, ids) for each row of documents; no shuffle."""
+    share_vocabulary(documents.sparkSession, vocabulary, folder)
     return documents.select("doc_id", token_ids(F.col("text"), vocabulary, folder).alias("ids"))
