@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Five ordered redaction patterns; the first group is the name of the setting.
+# Five ordered redaction patterns; the first group is the name of the setting.
 REDACTIONS = [
-    r"(?i)(api[_-]?key)\s*[=:]\s*[^\s,;]+",
-    r"(?i)(secret)\s*[=:]\s*[^\s,;]+",
-    r"(?i)(token)\s*[=:]\s*[^\s,;]+",
-    r"(?i)(password)\s*[=:]\s*[^\s,;]+",
-    r"(?i)(authorization)\s*:\s*[^\n]+",
+    r"(?i)(api[_-]?key|secret|token|password|passwd|pwd)\s*[:=]\s*[\"']?[^\s\"']+[\"']?",
+    r"(?i)(auth[_-]?token|bearer[_-]?token|access[_-]?token)\s*[:=]\s*[\"']?[^\s\"']+[\"']?",
+    r"(?i)(private[_-]?key|public[_-]?key)\s*[:=]\s*[\"']?[^\s\"']+[\"']?",
+    r"(?i)(database[_-]?url|db[_-]?url|connection[_-]?string)\s*[:=]\s*[\"']?[^\s\"']+[\"']?",
+    r"(?i)(redis[_-]?url|mongodb[_-]?url)\s*[:=]\s*[\"']?[^\s\"']+[\"']?",
 ]
 
 

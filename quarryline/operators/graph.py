@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import ratio
+from quarryline.functions.text import join_urls, ratio
 from quarryline.session import checkpointed
 
 #: The bounds of quarantine and of suggestion.
@@ -29,6 +29,66 @@ def import_edges(imports: DataFrame) -> DataFrame:
     ).where("src is not null and dst is not null")
 
 
+# How sure an edge to a middleware, a producer or a consumer is, of what its route or job is; and a store's or service's without a word on it.
+INDIRECT, DEFAULT_CONFIDENCE = 0.8, 0.5
+
+
+def edges_by_kind(imports: DataFrame, routes: DataFrame, jobs: DataFrame, stores: DataFrame, externals: DataFrame, functions: DataFrame, classes: DataFrame) -> DataFrame:
+    """One table of edges of eight kinds: (graph_id, src, dst, kind, confidence, hypothesis, reason_code, ord).
+
+    imports(graph_id, path, raw, resolved, external, confidence, hypothesis, reason_code, ord); routes(graph_id, path,
+    method, route, middlewares, confidence, hypothesis, ord); jobs(graph_id, path, name, producer, consumer, confidence,
+    hypothesis, ord); stores, externals, functions, classes(graph_id, path, name, confidence, hypothesis, ord). An import
+    without a file stays with confidence 0 as 'unresolved', which only the ratio reads. Edges without an end are none.
+    """
+    none = F.lit(None).cast("string")
+
+    def edge(rows: DataFrame, src: Column, dst: Column, kind: str, factor: float = 1.0, reason: Column = none) -> DataFrame:
+        sure = F.coalesce(F.col("confidence"), F.lit(DEFAULT_CONFIDENCE)) * factor
+        return rows.select("graph_id", src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), F.round(sure, 6).alias("confidence"), F.coalesce("hypothesis", F.lit(False)).alias("hypothesis"), reason.alias("reason_code"), "ord")
+
+    path, name = F.col("path"), F.col("name")
+    inner = imports.where("not coalesce(external, true)")
+    found, lost = inner.where("resolved is not null"), inner.where("resolved is null").withColumns({"confidence": F.lit(0.0), "hypothesis": F.lit(True)})
+    at = F.concat_ws(":", "method", "route")
+    between = routes.select("*", F.explode("middlewares").alias("_via"))
+    static = F.lit("static_detection")
+    parts = [
+        edge(found, path, F.col("resolved"), "import", reason=F.col("reason_code")), edge(lost, path, F.col("raw"), "import", reason=F.lit("unresolved")),
+        edge(routes, at, path, "route"), edge(between, at, F.col("_via"), "middleware", INDIRECT, F.lit("middleware")),
+        edge(jobs, name, path, "job"), edge(jobs.where("producer <> 'unknown'"), name, F.col("producer"), "job", INDIRECT, F.lit("producer")), edge(jobs.where("consumer <> 'unknown'"), name, F.col("consumer"), "job", INDIRECT, F.lit("consumer")),
+        edge(stores, path, name, "store"), edge(externals, path, name, "external"), edge(functions, path, name, "call", reason=static), edge(classes, path, name, "class", reason=static)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.where("src is not null and dst is not null and dst <> ''")
+
+
+def other_ends(edges: DataFrame, starts: DataFrame, kind: str) -> DataFrame:
+    """What is at the other end of a start's edges of a kind, in either direction: (graph_id, id, other)."""
+    e = edges.where(F.col("kind") == kind)
+    both = e.select("graph_id", F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(e.select("graph_id", F.col("dst").alias("id"), F.col("src").alias("other")))
+    return both.join(starts.select("graph_id", "id").distinct(), ["graph_id", "id"], "left_semi").distinct()
+
+
+def incident(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Main and suggested edges at each start: (graph_id, id, src, dst, kind, status); two equality joins, not an OR."""
+    e = split(edges).where("status <> 'quarantined'").select("graph_id", "src", "dst", "kind", "status")
+    w = starts.select("graph_id", "id").distinct()
+    ends = [e.withColumn("id", F.col(c)).join(w, ["graph_id", "id"], "left_semi") for c in ("src", "dst")]
+    return ends[0].unionByName(ends[1]).distinct()
+
+
+def assembled(modules: DataFrame, endpoints: DataFrame, models: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a picture: modules, endpoints and models (graph_id, id) with their type, and the edges both of whose ends are nodes.
+
+    Ends that name packages ('pkg:') are no nodes; an id of several types keeps the first.
+    """
+    ranked = [r.select("graph_id", "id", F.lit(k).alias("_k"), F.lit(t).alias("type")) for k, (t, r) in enumerate((("module", modules), ("endpoint", endpoints), ("model", models)))]
+    nodes = ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).where("id is not null and id not like 'pkg:%'").groupBy("graph_id", "id").agg(F.min_by("type", "_k").alias("type"))
+    return nodes, induced(edges, nodes)
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """In- and out-degree over resolved edges of the multigraph; nodes without edges stay: (graph_id, id, in_degree, out_degree)."""
     ends = edges.where("resolved").select("graph_id", F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
@@ -90,8 +150,8 @@ def warnings(edges: DataFrame) -> DataFrame:
     return low.unionByName(edges.where("hypothesis").select(*EDGE, F.lit("hypothesis").alias("reason"))).distinct()
 
 
-def index(nodes: DataFrame, edges: DataFrame, lane: Column) -> DataFrame:
-    """Nodes with sorted neighbours, lane and role: (graph_id, id, incoming, outgoing, lane, role).
+def index(nodes: DataFrame, edges: DataFrame, lane: Column, entry: Column) -> DataFrame:
+    """Nodes with sorted neighbours, lane and role: (graph_id, id, incoming, outgoing, lane, role). ``entry`` tells entrypoints.
 
     A list has the distinct neighbours of one node.
     """
@@ -100,9 +160,9 @@ def index(nodes: DataFrame, edges: DataFrame, lane: Column) -> DataFrame:
     inc = e.groupBy("graph_id", F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("src")).alias("incoming"))
     none = F.expr("cast(array() as array<string>)")
     rows = nodes.join(out, ["graph_id", "id"], "left").join(inc, ["graph_id", "id"], "left")
-    rows = rows.select("graph_id", "id", F.coalesce("incoming", none).alias("incoming"), F.coalesce("outgoing", none).alias("outgoing"), lane.alias("lane"))
-    role = F.when(F.size("incoming") == 0, "entrypoint").when(F.size("outgoing") == 0, "sink").otherwise("handler")
-    return rows.withColumn("role", role)
+    rows = rows.select("graph_id", "id", F.coalesce("incoming", none).alias("incoming"), F.coalesce("outgoing", none).alias("outgoing"), lane.alias("lane"), entry.alias("_entry"))
+    role = F.when(F.col("_entry"), "entrypoint").when(F.size("outgoing") == 0, "sink").otherwise("handler")
+    return rows.withColumn("role", role).drop("_entry")
 
 
 def touching(edges: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -189,17 +249,25 @@ def centrality(edges: DataFrame) -> DataFrame:
     return d.select("graph_id", "id", deg.alias("degree"), score.alias("score"), F.row_number().over(w).alias("rank"))
 
 
-def prefix_routes(includes: DataFrame, routes: DataFrame, roots: DataFrame, guard: int = 32) -> DataFrame:
+def prefix_routes(includes: DataFrame, routes: DataFrame, roots: DataFrame) -> DataFrame:
     """Routes under nested includes with their whole prefix: includes(file, prefix, target), routes(file, path), roots(file) -> (file, path).
 
-    A file that includes itself, also through others, is entered once per way.
+    A target names a module or file; it means the file whose path ends with it. A file that includes itself, also
+    through others, is entered once per way, so the loop ends by itself. Prefix and path have one slash between them.
     """
+    names = routes.select("file").union(includes.select("file")).distinct()
+    # every ending of a path at a slash is a name of the file
+    parts = F.split("file", "/")
+    ends = names.select(F.col("file").alias("_at"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))).alias("_name"))
+    ends = ends.groupBy("_name").agg(F.min_by("_at", F.struct(F.length("_at"), "_at")).alias("target"))
+    wanted = F.when(F.col("_t").rlike(r"\.py$") | F.contains("_t", F.lit("/")), F.col("_t")).otherwise(F.concat(F.translate("_t", ".", "/"), F.lit(".py")))
+    links = includes.withColumnsRenamed({"target": "_t", "prefix": "_p"}).withColumn("_name", wanted).join(ends, "_name").select("file", "_p", "target")
     at = roots.select("file", F.lit("").alias("prefix"), F.array("file").alias("seen"))
     every = at
-    for _ in range(guard):
-        at = checkpointed(at.join(includes.withColumnRenamed("prefix", "_p"), "file").where(~F.array_contains("seen", F.col("target"))).select(
+    while True:
+        at = checkpointed(at.join(links, "file").where(~F.array_contains("seen", F.col("target"))).select(
             F.col("target").alias("file"), F.concat("prefix", "_p").alias("prefix"), F.concat("seen", F.array("target")).alias("seen")))
         if at.isEmpty():
             break
         every = every.unionByName(at)
-    return every.join(routes, "file").select("file", F.concat("prefix", "path").alias("path")).distinct()
+    return every.join(routes, "file").select("file", F.when(F.col("prefix") == "", F.col("path")).otherwise(join_urls(F.col("prefix"), F.col("path"))).alias("path")).distinct()

@@ -100,3 +100,33 @@ def expired(jobs: DataFrame, now: Column, seconds: int) -> DataFrame:
 def usage(events: DataFrame) -> DataFrame:
     """Total, mean and share of hits of each phase."""
     return events.groupBy("phase").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg((F.col("value") > 50).cast("double")), 6).alias("hit_rate"))
+
+
+def evicted(entries: DataFrame, capacity: int) -> DataFrame:
+    """What a cache of ``capacity`` entries drops, least recently used first: entries(cache, key, used_at) -> (cache, key)."""
+    w = Window.partitionBy("cache").orderBy(F.desc("used_at"), F.desc("key"))
+    return entries.withColumn("_n", F.row_number().over(w)).where(F.col("_n") > capacity).select("cache", "key")
+
+
+def new_only(rows: DataFrame, held: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows whose key is not held yet; of several new ones the first by ``order``."""
+    rest = [c for c in rows.columns if c not in keys]
+    fresh = rows.join(held.select(*keys).distinct(), keys, "left_anti")
+    return fresh.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+
+
+def lacking(required: DataFrame, present: DataFrame, by: str, key: str) -> DataFrame:
+    """Whether all that is required is there: (by, complete, missing), missing being a number."""
+    gone = required.select(by, key).distinct().join(present.select(by, key).distinct(), [by, key], "left_anti").groupBy(by).agg(F.count(F.lit(1)).alias("missing"))
+    out = required.select(by).distinct().join(gone, by, "left").na.fill(0, ["missing"])
+    return out.select(by, (F.col("missing") == 0).alias("complete"), "missing")
+
+
+def batch_percent(done: Column, total: Column, start: int = 35, span: int = 15) -> Column:
+    """Percent of a job after a micro-batch of its parse phase; the start of the phase where there is nothing to do."""
+    return F.lit(start) + F.coalesce(F.floor(F.try_divide(done.cast("double"), total.cast("double")) * span), F.lit(0)).cast("int")
+
+
+def aliased(rows: DataFrame, names: dict[str, str], defaults: dict[str, str]) -> DataFrame:
+    """Columns under the names of a response, nulls filled: what is not in ``names`` keeps its own."""
+    return rows.select(*[F.coalesce(F.col(c), F.lit(defaults[c]) if c in defaults else F.lit(None)).alias(names.get(c, c)) for c in rows.columns])

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.text import ratio
 
-#: Thresholds of the checks.
-THRESHOLDS = {"route_precision": 0.95, "route_recall": 0.9, "unresolved_ratio": 0.15, "hypothesis_ratio": 0.1, "p95_seconds": 300.0}
+# Thresholds of the checks.
+THRESHOLDS = {
+    "routes_recall": 0.8, "routes_precision": 0.9, "job_edges_precision": 0.8, "stores_precision": 0.8, "externals_precision": 0.7,
+    "unresolved_import_ratio": 0.2, "capability_coverage": 0.8, "p95_runtime_seconds": 300.0, "hypothesis_ratio": 0.3, "llm_token_efficiency": 0.8,
+}
 
 
 def precision_recall(found: DataFrame, golden: DataFrame, keys: list[str], by: str) -> DataFrame:
@@ -17,7 +20,7 @@ def precision_recall(found: DataFrame, golden: DataFrame, keys: list[str], by: s
     both = f.withColumn("_f", F.lit(1)).join(g.withColumn("_g", F.lit(1)), [by, *keys], "full")
     n = both.groupBy(by).agg(F.count("_f").alias("f"), F.count("_g").alias("g"), F.count_if(F.col("_f").isNotNull() & F.col("_g").isNotNull()).alias("b"))
     p, r = F.round(ratio(F.col("b"), F.col("f")), 6), F.round(ratio(F.col("b"), F.col("g")), 6)
-    return n.select(by, p.alias("precision"), r.alias("recall"), ((p >= THRESHOLDS["route_precision"]) & (r >= THRESHOLDS["route_recall"])).alias("passed"))
+    return n.select(by, p.alias("precision"), r.alias("recall"), ((p >= THRESHOLDS["routes_precision"]) & (r >= THRESHOLDS["routes_recall"])).alias("passed"))
 
 
 def inverted(value: Column, limit: float) -> Column:
@@ -25,7 +28,7 @@ def inverted(value: Column, limit: float) -> Column:
     return F.greatest(F.lit(0.0), 1.0 - F.least(value, F.lit(limit)) / limit)
 
 
-def runtime_score(seconds: Column, limit: float = THRESHOLDS["p95_seconds"]) -> Column:
+def runtime_score(seconds: Column, limit: float = THRESHOLDS["p95_runtime_seconds"]) -> Column:
     return F.when(seconds <= limit, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - (seconds - limit) / limit))
 
 
@@ -43,3 +46,11 @@ def provenance_confidence(has_evidence: Column, resolved: Column, internal: Colu
     """Mean of three factors: (.9/.3), (.8/.5), (.8/.2)."""
     pick = lambda c, yes, no: F.when(c, yes).otherwise(no)
     return F.round((pick(has_evidence, 0.9, 0.3) + pick(resolved, 0.8, 0.5) + pick(internal, 0.8, 0.2)) / 3, 6)
+
+
+def golden_precision(found: DataFrame, golden: DataFrame, section: str, threshold: str) -> DataFrame:
+    """One row of a check by name: (section, precision, passed). found(name), golden(name); nothing found is 0."""
+    f, g = found.select("name").distinct(), golden.select("name").distinct()
+    n = f.join(g.withColumn("_g", F.lit(1)), "name", "left").agg(F.count(F.lit(1)).alias("f"), F.count("_g").alias("b"))
+    p = F.round(F.col("b") / F.greatest(F.col("f"), F.lit(1)), 6)
+    return n.select(F.lit(section).alias("section"), p.alias("precision"), (p >= THRESHOLDS[threshold]).alias("passed"))

@@ -1,4 +1,4 @@
-"""Retrieval over files and vectors, and edit suggestions.
+"""Retrieval over files and vectors, fitting summaries, and edit suggestions.
 
 Defined results: null texts count as empty; a question without words scores nothing; ties are broken by id.
 """
@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.text import cosine, tokens
 
-#: How a suggestion is classed; a later rule that matches wins. (pattern, rank, label)
-SUGGESTION_RULES = [(r"(?i)function|class|symbol", "Med", "symbols"), (r"(?i)route|api|hint", "High", "routing"), (r"(?i)style|css|color", "Low", "styles"), (r"(?i)template|html|page", "Med", "templates"), (r"(?i)compile|build|config", "High", "build"), (r"(?i)warn|error|fail", "High", "warnings")]
-
-
 def lexical_score(text: Column, question: Column, bonus: Column) -> Column:
     """One point for each word of the question (repeats count) found anywhere in the text, 0.3 for entry files."""
     hits = F.aggregate(question, F.lit(0.0), lambda s, t: s + F.when(F.contains(text, t), 1.0).otherwise(0.0))
@@ -45,19 +41,84 @@ def rerank(vectors: DataFrame, query: Column, k: int | None = None) -> DataFrame
     return out.limit(k) if k else out
 
 
-def suggestion_class(text: Column) -> tuple[Column, Column]:
-    """(impact, label) of a suggestion; later rules override earlier ones."""
-    impact, label = F.lit("Low"), F.lit("general")
-    for pattern, rank, name in SUGGESTION_RULES:
-        impact, label = F.when(text.rlike(pattern), rank).otherwise(impact), F.when(text.rlike(pattern), name).otherwise(label)
-    return impact, label
-
-
-def suggestions(rows: DataFrame, text: str, order: str, top: int = 20) -> DataFrame:
-    """The first ``top`` suggestions by impact, stable by ``order``."""
-    impact, label = suggestion_class(F.col(text))
-    by = F.when(F.col("impact") == "High", 0).when(F.col("impact") == "Med", 1).otherwise(2)
-    return rows.withColumn("impact", impact).withColumn("label", label).orderBy(by, order).limit(top)
+def suggestion_class(path: Column, functions: Column, classes: Column, is_route: Column, is_api: Column, is_component: Column, warnings: Column) -> tuple[Column, Column]:
+    """(confidence, rationale) of a file as an edit target; of the rules that apply the last one holds. Counts are numbers."""
+    n = lambda c: c.cast("string")
+    low = F.lower(path)
+    # The rules in order, the later over the earlier.
+    rules = [
+        ((functions > 0) & (classes > 0), "High", F.concat(F.lit("Contains "), n(functions), F.lit(" functions and "), n(classes), F.lit(" classes - high edit potential"))),
+        ((functions > 0) & (classes == 0), "Med", F.concat(F.lit("Contains "), n(functions), F.lit(" functions - moderate edit potential"))),
+        ((functions == 0) & (classes > 0), "Med", F.concat(F.lit("Contains "), n(classes), F.lit(" classes - moderate edit potential"))),
+        (is_component & ~(is_route | is_api), "Med", F.lit("React component - UI modification target")),
+        (is_route | is_api, "High", F.lit("Route/API file - critical for functionality")),
+        (F.contains(low, F.lit("/styles/")) | low.endswith(".css"), "Med", F.lit("print/layout might clip slides")),
+        (F.contains(low, F.lit("templates")), "High", F.lit("renderer entry point")),
+        (F.contains(low, F.lit("compile")), "High", F.lit("orchestrator")),
+        (warnings > 0, "High", F.concat(F.lit("Has "), n(warnings), F.lit(" warnings - likely needs attention")))]
+    confidence, rationale = F.lit("Low"), F.lit("General file for potential edits")
+    for holds, sure, why in rules:
+        confidence, rationale = F.when(holds, sure).otherwise(confidence), F.when(holds, why).otherwise(rationale)
+    return confidence, rationale
+
+
+def suggestions(rows: DataFrame, order: list[str], top: int = 20) -> DataFrame:
+    """The first ``top`` suggestions (a report) by confidence, stable by ``order``: rows with confidence and rationale."""
+    by = F.when(F.col("confidence") == "High", 0).when(F.col("confidence") == "Med", 1).otherwise(2)
+    return rows.orderBy(by, *order).limit(top)
+
+
+# Parts of a path, with words that speak for a summary of such a file (40) and, for the first, against it (-50); in order.
+TOPICS = [
+    ("domains", ["domain", "domains", "registration", "search", "add"], ["demo", "component", "navigation", "icon", "svg"]), ("monitor", ["monitor", "monitoring", "status", "health", "uptime"], []),
+    ("utils", ["utility", "util", "helper", "tool", "pg-api"], []), ("services", ["service", "business", "logic", "api", "database"], []), ("components", ["component", "ui", "interface", "display"], [])]
+NAME_IN_TITLE, STEM_IN_TITLE, NAME_IN_TEXT, LEAST = 100, 80, 60, 80
+
+
+def best_summaries(files: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The summary that fits each file best, if its score is at least LEAST: files(path), summaries(id, title, purpose, detail) -> (path, id, score).
+
+    No score reaches LEAST without the file's stem in the title, or its whole name in the text and the topic's words; so
+    candidates come from equal words (the stem or name as a word of title or text) and by containment within words
+    through all endings of each word, never from all pairs. Ties go to the least id.
+    """
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    f = files.select("path", name.alias("_name"), F.substring_index(name, ".", 1).alias("_stem")).distinct()
+    s = summaries.where("title <> '' and purpose <> ''").select("id", F.lower("title").alias("_t"), F.lower(F.concat("purpose", F.coalesce("detail", F.lit("")))).alias("_x"))
+    s = s.withColumn("_c", F.lower(F.col("_t")))
+    # every part of a title or text that a stem could be: runs of signs of names, cut at each place where one may begin
+    grams = lambda c: F.regexp_extract_all(c, F.lit(r"[a-z0-9_.$@\[\]()+-]+"), F.lit(0))
+    ends = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, F.length(w)))
+    words = s.select("id", F.explode(F.array_distinct(F.concat(grams(F.col("_t")), grams(F.col("_x"))))).alias("_w"))
+    tails = words.select("id", F.explode(ends(F.col("_w"))).alias("_w")).distinct()
+    least = 3
+    keyed = tails.where(F.length("_w") >= least).select("id", F.substring("_w", 1, least).alias("_k"), "_w")
+    long_ = f.where(F.length("_stem") >= least).withColumn("_k", F.substring("_stem", 1, least))
+    near = long_.join(keyed, "_k").where(F.startswith("_w", "_stem")).select("path", "_name", "_stem", "id").distinct()
+    short = f.where((F.length("_stem") < least) & (F.length("_stem") > 0)).join(tails.select("id", "_w"), F.startswith("_w", "_stem")).select("path", "_name", "_stem", "id").distinct()
+    pairs = near.unionByName(short).join(s, "id")
+    has = lambda c, w: F.contains(c, w if isinstance(w, Column) else F.lit(w))
+    any_word = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.concat("_t", "_x"), w)) if words else F.lit(False)
+    topic = F.lit(0)
+    for part, good, bad in reversed(TOPICS):
+        topic = F.when(has(F.lower("path"), part), F.when(any_word(good), 40).when(any_word(bad), -50).otherwise(0)).otherwise(topic)
+    score = F.when(has(F.col("_t"), F.col("_name")), NAME_IN_TITLE).otherwise(0) + F.when(has(F.col("_t"), F.col("_stem")), STEM_IN_TITLE).otherwise(0) + F.when(has(F.col("_x"), F.col("_name")), NAME_IN_TEXT).otherwise(0) + topic
+    scored = pairs.select("path", "id", score.alias("score")).where(F.col("score") >= LEAST)
+    return scored.groupBy("path").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "id")).alias("_b")).select("path", "_b.*")
+
+
+def sparse_fallback(rows: DataFrame, synthesized: DataFrame, least: int = 3, first: int = 6) -> DataFrame:
+    """The rows, or where they are fewer than ``least`` the first ``first`` of the synthesized ones (ord, *columns of rows)."""
+    n = rows.agg(F.count(F.lit(1)).alias("_n"))
+    few = synthesized.orderBy("ord").limit(first).select(*rows.columns)
+    kept = rows.join(F.broadcast(n.where(F.col("_n") >= least)))  # one row or none
+    return kept.drop("_n").unionByName(few.join(F.broadcast(n.where(F.col("_n") < least))).drop("_n"))
+
+
+def glossary(terms: DataFrame, top: int = 50) -> DataFrame:
+    """The first ``top`` distinct terms of each snapshot (a report): terms(snapshot_id, term) -> (snapshot_id, term, rank)."""
+    w = Window.partitionBy("snapshot_id").orderBy("term")
+    return terms.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
 def generic_lines(lines: DataFrame, allowed: DataFrame) -> DataFrame:

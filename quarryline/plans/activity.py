@@ -123,19 +123,6 @@ def top_o04_rerank(spark, d):
     return rows.select("id", F.round(X.cosine(F.col("embedding"), F.col("_q")) * 0.3 + F.col("confidence") * 0.7, 6).alias("score"))
 
 
-def _suggestion_sql() -> str:
-    impact, label = "'Low'", "'general'"
-    for pattern, rank, name in S.SUGGESTION_RULES:
-        impact, label = f"CASE WHEN regexp_matches(text, '{pattern}') THEN '{rank}' ELSE {impact} END", f"CASE WHEN regexp_matches(text, '{pattern}') THEN '{name}' ELSE {label} END"
-    return f"WITH s AS (SELECT doc_id, {impact} AS impact, {label} AS label FROM documents WHERE text IS NOT NULL) SELECT doc_id, impact, label FROM s ORDER BY CASE impact WHEN 'High' THEN 0 WHEN 'Med' THEN 1 ELSE 2 END, doc_id LIMIT 20"
-
-
-@query(_suggestion_sql())
-def top_o02_suggestions(spark, d):
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    return S.suggestions(rows, "text", "doc_id").select("doc_id", "impact", "label")
-
-
 @query("""WITH l AS (SELECT doc_id AS id, text AS line FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?i)\\b(various|several|appropriate|etc|some files)\\b')),
 m AS (SELECT DISTINCT id, unnest(regexp_extract_all(line, '[\\w./-]+/[\\w./-]*\\w')) AS path FROM l), a AS (SELECT DISTINCT path FROM documents WHERE path IS NOT NULL)
 SELECT DISTINCT m.id FROM m JOIN a ON a.path = m.path""")
@@ -157,7 +144,7 @@ def join_j14_semi_files(spark, d):
 
 @query("""WITH f AS (SELECT DISTINCT snapshot_id, from_path, resolved FROM imports WHERE resolved IS NOT NULL AND confidence >= 0.8), g AS (SELECT DISTINCT i.snapshot_id, i.from_path, i.resolved FROM imports i JOIN (SELECT DISTINCT snapshot_id, path FROM source_files) s ON s.snapshot_id = i.snapshot_id AND s.path = i.resolved),
 n AS (SELECT coalesce(f.snapshot_id, g.snapshot_id) AS snapshot_id, count(f.resolved) AS f, count(g.resolved) AS g, count(*) FILTER (WHERE f.resolved IS NOT NULL AND g.resolved IS NOT NULL) AS b FROM f FULL JOIN g ON f.snapshot_id = g.snapshot_id AND f.from_path = g.from_path AND f.resolved = g.resolved GROUP BY 1),
-r AS (SELECT snapshot_id, CASE WHEN f = 0 THEN 0.0 ELSE round(CAST(b AS DOUBLE) / f, 6) END AS precision, CASE WHEN g = 0 THEN 0.0 ELSE round(CAST(b AS DOUBLE) / g, 6) END AS recall FROM n) SELECT *, precision >= 0.95 AND recall >= 0.9 AS passed FROM r""")
+r AS (SELECT snapshot_id, CASE WHEN f = 0 THEN 0.0 ELSE round(CAST(b AS DOUBLE) / f, 6) END AS precision, CASE WHEN g = 0 THEN 0.0 ELSE round(CAST(b AS DOUBLE) / g, 6) END AS recall FROM n) SELECT *, precision >= 0.9 AND recall >= 0.8 AS passed FROM r""")
 def agg_a09_precision_recall(spark, d):
     i = table(spark, d, "imports").where("resolved is not null").select("snapshot_id", "from_path", "resolved", "confidence")
     files = table(spark, d, "source_files").select("snapshot_id", F.col("path").alias("resolved")).distinct()
@@ -165,10 +152,10 @@ def agg_a09_precision_recall(spark, d):
 
 
 @query(f"""WITH {EDGES}, k AS (SELECT graph_id, src, dst, bool_or(coalesce(confidence, 0) = 0 AND hypothesis) AS u, bool_or(hypothesis) AS h FROM edges GROUP BY 1, 2, 3), r AS (SELECT graph_id, round(CAST(count(*) FILTER (WHERE u) AS DOUBLE) / count(*), 6) AS u, round(CAST(count(*) FILTER (WHERE h) AS DOUBLE) / count(*), 6) AS h FROM k GROUP BY 1)
-SELECT graph_id, round(greatest(0.0, 1.0 - least(u, 0.15) / 0.15), 6) AS unresolved_score, round(greatest(0.0, 1.0 - least(h, 0.1) / 0.1), 6) AS hypothesis_score FROM r""")
+SELECT graph_id, round(greatest(0.0, 1.0 - least(u, 0.2) / 0.2), 6) AS unresolved_score, round(greatest(0.0, 1.0 - least(h, 0.3) / 0.3), 6) AS hypothesis_score FROM r""")
 def agg_a10_threshold_scores(spark, d):
     r = G.unresolved_ratio(edges(spark, d))
-    return r.select("graph_id", F.round(Q.inverted(F.col("unresolved_ratio"), 0.15), 6).alias("unresolved_score"), F.round(Q.inverted(F.col("hypothesis_ratio"), 0.1), 6).alias("hypothesis_score"))
+    return r.select("graph_id", F.round(Q.inverted(F.col("unresolved_ratio"), Q.THRESHOLDS["unresolved_import_ratio"]), 6).alias("unresolved_score"), F.round(Q.inverted(F.col("hypothesis_ratio"), Q.THRESHOLDS["hypothesis_ratio"]), 6).alias("hypothesis_score"))
 
 
 @query("WITH p AS (" + SQL["agg_a09_precision_recall"] + ") SELECT count(*) AS snapshots, round(avg(CAST(passed AS DOUBLE)), 6) AS score FROM p")

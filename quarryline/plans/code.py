@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as X
 from quarryline.functions.paths import directory, extension, language, normalized
 from quarryline.operators import capability as C
-from quarryline.operators import detect as DT
 from quarryline.operators import files as FI
 from quarryline.operators import graph as G
 from quarryline.operators import jobs as J
+from quarryline.operators import manifest as M
 from quarryline.operators import resolve as R
 from quarryline.sources.tables import latest_files, table
 
@@ -57,19 +57,31 @@ def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def match_sql(value: str, rules: list[tuple[str, str]], default: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({value}, {quote(p)}) THEN {quote(label)}" for p, label in rules) + f" ELSE {quote(default)} END"
+IN = lambda xs: "(" + ", ".join(map(quote, xs)) + ")"
 
 
-LANE_SQL = lambda p: match_sql(p, FI.LANES, "other")
-IN = lambda xs: "(" + ", ".join(map(quote, xs)) + ")"
+def LANE_SQL(p: str) -> str:
+    has = lambda *parts: " OR ".join(f"contains(lower({p}), '{x}')" for x in parts)
+    return (f"CASE WHEN {has('/api/', '/routes/', '/routers/', 'route.ts', 'route.js')} THEN 'api' WHEN {has('/pages/', '/app/', '/components/', '/src/', '.tsx', '.jsx')} THEN 'web' "
+            f"WHEN {has('/workers/', '/tasks/', '/jobs/', '/cron/')} THEN 'workers' ELSE 'other' END")
+
+
+PURPOSE_SQL = """CASE WHEN lower(name) IN ('app', 'src/app') THEN 'UI routes (Next.js)' WHEN lower(name) = 'pages' THEN 'Next.js legacy pages + API routes' WHEN lower(name) = 'api' THEN 'API routes' WHEN lower(name) = 'lib' THEN 'Libraries / utilities'
+ WHEN lower(name) = 'components' THEN 'UI components' WHEN contains(lower(name), 'worker') THEN 'Background workers' WHEN lower(name) = 'services' THEN 'Business logic / services' WHEN lower(name) = 'routes' THEN 'Server routes'
+ WHEN lower(name) = 'templates' THEN 'Rendering templates' WHEN lower(name) = 'content' THEN 'Static content' WHEN lower(name) IN ('styles', 'css') THEN 'Styling' WHEN lower(name) = 'prisma' THEN 'Database schema' ELSE '' END"""
+NAME_SQL = lambda p: f"string_split({p}, '/')[-1]"
+ENTRY_SQL = lambda p: f"regexp_matches(lower({NAME_SQL(p)}), 'main|index|app|server|start|cli|command|script|worker|job')"
+CORE_SQL = lambda p: f"regexp_matches(lower({p}), 'main\\.py|app\\.py|server\\.py|index\\.js|app\\.js')"
+CONFIG_SQL = lambda p: f"regexp_matches(lower({p}), 'config|settings|env|package\\.json|requirements\\.txt|pyproject\\.toml')"
 
 
 def ignored_sql(path: str) -> str:
-    parts, name = f"string_split({path}, '/')", f"string_split({path}, '/')[-1]"
-    keep = f"'.' || string_split({name}, '.')[2]"
-    return (f"(list_has_any({parts}, [{', '.join(map(quote, FI.IGNORED_DIRS))}]) OR {ext_sql(path)} IN {IN(FI.IGNORED_EXTS)} OR (len(list_filter({parts}, lambda s: starts_with(s, '.') AND length(s) > 1)) > 0 "
-            f"AND NOT (starts_with({name}, '.') AND {keep} IN {IN(FI.KEPT_HIDDEN)})) OR regexp_matches({name}, {quote(FI.BACKUPS)}) OR regexp_matches({name}, {quote(FI.BUILT)}))")
+    parts, name = f"string_split({path}, '/')", NAME_SQL(path)
+    return (f"(list_has_any({parts}, ['node_modules', '.git', '.svn', '.hg', '.bzr', '__pycache__', '.pytest_cache', '.tox', '.venv', 'venv', 'env', 'coverage', '.coverage', 'htmlcov', '.nyc_output', 'dist', 'build', '.next', '.nuxt', 'out', 'logs', 'log', 'tmp', 'temp', '.tmp', '.temp', "
+            "'migrations', 'migration', 'alembic', 'versions', 'test', 'tests', '__tests__', 'spec', 'specs', '.cache', 'cache', '.parcel-cache', '.turbo', 'docs', 'documentation', 'examples', 'samples', 'vendor', 'third_party', 'external']) "
+            f"OR {ext_sql(path)} IN ('.log', '.tmp', '.temp', '.cache', '.lock', '.pid', '.map', '.min.js', '.min.css', '.bundle.js', '.pyc', '.pyo', '.pyd', '.so', '.dll', '.dylib', '.exe', '.bin', '.app', '.deb', '.rpm', '.msi', '.zip', '.tar', '.gz', '.bz2', '.xz', '.7z', '.rar', '.dmg', '.iso', '.img', "
+            "'.jpg', '.jpeg', '.png', '.gif', '.bmp', '.tiff', '.svg', '.ico', '.webp', '.avif', '.mp3', '.mp4', '.avi', '.mov', '.wmv', '.flv', '.pdf', '.doc', '.docx', '.xls', '.xlsx', '.ppt', '.pptx', '.db', '.sqlite', '.sqlite3', '.mdb', '.accdb') "
+            f"OR (starts_with({name}, '.') AND {name} NOT IN ('.env', '.gitignore', '.eslintrc', '.prettierrc')) OR regexp_matches({name}, '(~|\\.bak|\\.backup|\\.orig)$') OR regexp_matches({name}, 'generated|auto-generated|build-'))")
 
 
 def files(spark, d, *cols):
@@ -95,7 +107,8 @@ NODES = "nodes AS (SELECT DISTINCT snapshot_id AS graph_id, path AS id FROM sour
 
 @query(f"WITH {FILES} SELECT file_id, path, {ext_sql('path')} AS ext, {lang_sql('path')} AS language, CAST(strlen(text) AS BIGINT) AS size, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, sha256(text) AS hash, coalesce(strlen(text) > 20000, true) AS skipped FROM files WHERE NOT {ignored_sql('path')}")
 def scan_s04_discover(spark, d):
-    return FI.discovered(files(spark, d, "path", "text"))
+    told = FI.discovered(table(spark, d, "source_files"))
+    return latest_files(told, *told.columns[2:]).where(~FI.ignored(F.col("path")))
 
 
 @query(f"SELECT DISTINCT path, {ignored_sql('path')} AS ignored FROM source_files")
@@ -103,7 +116,8 @@ def scan_s05_ignored(spark, d):
     return table(spark, d, "source_files").select("path").distinct().select("path", FI.ignored(F.col("path")).alias("ignored"))
 
 
-@query(f"SELECT DISTINCT snapshot_id, path FROM source_files WHERE {ext_sql('path')} IN {IN(FI.SOURCE_EXTS)} AND len(list_filter(string_split(path, '/'), lambda s: regexp_matches(s, '^(\\.|__pycache__$|venv$|env$|dist$|build$|runs$|tests?$|__tests__$)'))) = 0")
+@query(f"""SELECT DISTINCT snapshot_id, path FROM source_files WHERE {ext_sql('path')} IN ('.py', '.js', '.ts', '.jsx', '.tsx', '.mjs', '.cjs') AND len(list_filter(string_split(path, '/'), lambda s: regexp_matches(s, '^(\\.|__pycache__|venv|env)'))) = 0
+AND NOT list_has_any(string_split(path, '/'), ['node_modules', 'dist', 'build', '.next', '.nuxt', 'out', 'test', 'tests', '__tests__', 'spec', 'specs']) AND NOT contains(path, 'runs/')""")
 def scan_s06_source_only(spark, d):
     return FI.source_only(table(spark, d, "source_files")).select("snapshot_id", "path").distinct()
 
@@ -114,48 +128,62 @@ def scan_s07_python_files(spark, d):
     return f.where("path like '%.py'").where(~F.col("path").rlike(r"(^|/)(\.|venv/|runs/)")).select("snapshot_id", "path").distinct()
 
 
-FRAMEWORK_NAMES = ["next", "react", "express", "koa", "fastapi", "flask", "django", "vue", "angular", "svelte"]
+_DEPS = lambda *keys: " OR ".join(f"json_exists(j, '$.{k}.\"PKG\"')" for k in keys)
+_NODE = lambda package: "coalesce(bool_or(" + _DEPS("dependencies", "devDependencies", "peerDependencies").replace("PKG", package) + "), false)"
+_WORD = lambda word: f"coalesce(bool_or(path IN ('requirements.txt', 'requirements-dev.txt', 'pyproject.toml') AND contains(lower(text), '{word}')), false)"
 
 
-@query("WITH f AS (SELECT snapshot_id, unnest(frameworks) AS f FROM preflight) SELECT snapshot_id, " + ", ".join(f"coalesce(bool_or(f.name = '{n}'), false) AS has_{n}" for n in FRAMEWORK_NAMES) + " FROM f GROUP BY snapshot_id")
+@query(f"""WITH m AS (SELECT snapshot_id, path, text, CASE WHEN path = 'package.json' AND json_valid(text) THEN CAST(text AS JSON) END AS j FROM source_files)
+SELECT snapshot_id, {_NODE('next')} OR bool_or(starts_with(path, 'src/app/') OR starts_with(path, 'pages/')) AS has_nextjs, {_NODE('express')} AS has_express, {_NODE('koa')} AS has_koa, {_NODE('@nestjs/core')} AS has_nestjs, {_NODE('react')} AS has_react, {_NODE('vue')} AS has_vue, {_NODE('@angular/core')} AS has_angular,
+{_WORD('fastapi')} OR bool_or(path = 'app/main.py') AS has_fastapi, {_WORD('flask')} OR bool_or(path IN ('app.py', 'flask_app.py')) AS has_flask, {_WORD('django')} OR bool_or(path = 'manage.py') AS has_django FROM m GROUP BY 1""")
 def scan_s09_project_context(spark, d):
-    f = table(spark, d, "preflight").select("snapshot_id", F.explode("frameworks").alias("f"))
-    return f.groupBy("snapshot_id").agg(*[F.coalesce(F.bool_or(F.col("f.name") == n), F.lit(False)).alias(f"has_{n}") for n in FRAMEWORK_NAMES])
+    return M.project_context(table(spark, d, "source_files"))
 
 
-@query("WITH f AS (SELECT snapshot_id, unnest(frameworks) AS f FROM preflight) SELECT snapshot_id, f.name AS name, max(coalesce(f.confidence, 0.0)) AS confidence, min(f.version) AS version FROM f GROUP BY 1, 2")
+@query("""WITH m AS (SELECT snapshot_id, path, text, CASE WHEN path = 'package.json' AND json_valid(text) THEN CAST(text AS JSON) END AS j FROM source_files WHERE path IN ('package.json', 'requirements.txt', 'pyproject.toml')),
+r AS (SELECT * FROM (VALUES ('nextjs', 'next', 0.9), ('react', 'react', 0.8), ('express', 'express', 0.8), ('koa', 'koa', 0.8)) AS t(name, package, confidence)), p AS (SELECT * FROM (VALUES ('fastapi', 'requirements.txt'), ('flask', 'requirements.txt'), ('django', 'requirements.txt'), ('fastapi', 'pyproject.toml')) AS t(name, file))
+SELECT DISTINCT snapshot_id, name, CAST(confidence AS DOUBLE) AS confidence, 'package.json' AS file, json_extract_string(j, '$.dependencies."' || package || '"') AS version FROM m, r WHERE json_extract_string(j, '$.dependencies."' || package || '"') IS NOT NULL
+UNION SELECT DISTINCT snapshot_id, name, 0.9, file, NULL FROM m JOIN p ON p.file = m.path WHERE contains(lower(text), name)""")
 def scan_s10_frameworks(spark, d):
-    f = table(spark, d, "preflight").select("snapshot_id", F.explode("frameworks").alias("f"))
-    return f.groupBy("snapshot_id", F.col("f.name").alias("name")).agg(F.max(F.coalesce("f.confidence", F.lit(0.0))).alias("confidence"), F.min("f.version").alias("version"))
+    return M.frameworks(table(spark, d, "source_files"))
 
 
-def _matching(pattern: str):
-    return lambda s: s.rlike(pattern)
+@query("""SELECT snapshot_id, ['pnpm', 'yarn', 'turbo', 'nx', 'poetry', 'pants', 'single'][min(CASE WHEN path = 'pnpm-workspace.yaml' THEN 1 WHEN path = 'package.json' AND json_valid(text) AND json_extract_string(CASE WHEN json_valid(text) THEN text END, '$.workspaces') IS NOT NULL THEN 2
+WHEN path = 'turbo.json' THEN 3 WHEN path = 'nx.json' THEN 4 WHEN path = 'pyproject.toml' AND contains(text, '[tool.poetry]') THEN 5 WHEN path = 'pants.toml' THEN 6 ELSE 7 END)] AS workspace FROM source_files GROUP BY 1""")
+def scan_s11_workspace(spark, d):
+    return M.workspace(table(spark, d, "source_files"))
 
 
-WORKSPACES = [(r"(^|/)pnpm-workspace\.ya?ml$", "pnpm"), (r"(^|/)yarn\.lock$", "yarn"), (r"(^|/)turbo\.json$", "turbo"), (r"(^|/)nx\.json$", "nx"), (r"(^|/)pyproject\.toml$", "poetry"), (r"(^|/)pants\.toml$", "pants")]
+@query(f"WITH {FILES} SELECT file_id, path, strlen(text) > 10000 AS big, {ext_sql('path')} IN ('.png', '.jpg', '.jpeg', '.gif', '.bmp', '.ico', '.pdf', '.mp4', '.mp3', '.mov', '.zip', '.tar', '.gz') AS binary_file, {NAME_SQL('path')} IN ('.env', '.env.local', '.env.development', '.env.production', '.env.test') AS env FROM files WHERE text IS NOT NULL")
+def scan_s12_special_files(spark, d):
+    p = F.col("path")
+    f = files(spark, d, "path", (F.octet_length("text") > 10000).alias("big"), extension(p).isin(*FI.BINARY_EXTS).alias("binary_file"), FI.file_name(p).isin(*FI.ENV_FILES).alias("env"))
+    return f.where("big is not null")
 
 
-@query("WITH k AS (SELECT snapshot_id, any_value(workspace_type) AS told, list_sort(coalesce(map_keys(any_value(config_files)), [])) AS names FROM preflight GROUP BY snapshot_id) SELECT snapshot_id, coalesce(told, " + "CASE " + " ".join(f"WHEN len(list_filter(names, lambda p: regexp_matches(p, {quote(p)}))) > 0 THEN '{w}'" for p, w in WORKSPACES) + " ELSE 'single' END) AS workspace FROM k")
-def scan_s11_workspace(spark, d):
-    p = table(spark, d, "preflight")
-    names = F.coalesce(F.map_keys("config_files"), F.expr("cast(array() as array<string>)"))
-    out = F.lit("single")
-    for pattern, name in reversed(WORKSPACES):
-        out = F.when(F.size(F.filter(names, _matching(pattern))) > 0, name).otherwise(out)
-    return p.select("snapshot_id", F.coalesce("workspace_type", out).alias("workspace"))
+@query(r"""WITH t AS (SELECT DISTINCT snapshot_id, path AS config, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, CAST(text AS JSON) AS j FROM source_files WHERE regexp_matches(string_split(path, '/')[-1], '^tsconfig[^/]*\.json$') AND json_valid(text)), k AS (SELECT *, unnest(json_keys(j, '$.compilerOptions.paths')) AS pattern FROM t),
+v AS (SELECT *, from_json(json_extract(j, '$.compilerOptions.paths."' || pattern || '"'), '["VARCHAR"]') AS targets FROM k)
+SELECT DISTINCT snapshot_id, config, folder, coalesce(json_extract_string(j, '$.compilerOptions.baseUrl'), '.') AS base_url, pattern, CAST(i - 1 AS INT) AS ord, targets[i] AS target FROM (SELECT *, unnest(range(1, len(targets) + 1)) AS i FROM v)""".replace("\\\\", "\\"))
+def scan_s13_path_aliases(spark, d):
+    return M.path_aliases(table(spark, d, "source_files"))
 
 
-@query(f"WITH {FILES} SELECT file_id, path, strlen(text) > 10000 AS big, {ext_sql('path')} IN {IN(FI.BINARY_EXTS)} AS binary_file, regexp_matches(path, {quote(FI.ENV_NAMES)}) AS env FROM files WHERE text IS NOT NULL")
-def scan_s12_special_files(spark, d):
-    f = files(spark, d, "path", "text").where("text is not null")
-    return f.select("file_id", "path", (F.octet_length("text") > 10000).alias("big"), extension(F.col("path")).isin(*FI.BINARY_EXTS).alias("binary_file"), F.col("path").rlike(FI.ENV_NAMES).alias("env"))
+@query(f"WITH {FILES}, l AS (SELECT file_id, trim(unnest(string_split(replace(text, chr(13), ''), chr(10)))) AS line FROM files WHERE text IS NOT NULL AND {ext_sql('path')} = '.txt') SELECT DISTINCT file_id, regexp_extract(line, '^(.*?)(?:==|>=|<=|>|<|~=|$)', 1) AS name FROM l WHERE line <> '' AND line NOT LIKE '#%' AND name <> ''")
+def scan_s14_dependency_names(spark, d):
+    f = table(spark, d, "source_files").where(extension(F.col("path")) == ".txt")
+    return M.dependency_names(latest_files(f, "text"))
 
 
-@query(f"WITH {FILES}, l AS (SELECT file_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM files WHERE text IS NOT NULL AND {ext_sql('path')} IN ('.toml', '.txt', '.cfg')) SELECT DISTINCT file_id, lower(regexp_extract(line, '^\\s*([A-Za-z][A-Za-z0-9_.-]*)\\s*(\\[[^\\]]*\\])?\\s*(==|>=|<=|~=|!=|<|>|=)', 1)) AS name FROM l WHERE name <> ''")
-def scan_s14_dependency_names(spark, d):
-    f = files(spark, d, "path", "text").where(extension(F.col("path")).isin(".toml", ".txt", ".cfg"))
-    return FI.dependency_names(f)
+@query(f"""WITH {FILES}, h AS (SELECT snapshot_id, path, sha256(text) AS h, string_split(path, '/')[1] AS top FROM (SELECT snapshot_id, path, any_value(text) AS text FROM source_files WHERE text IS NOT NULL GROUP BY 1, 2)), r AS (SELECT *, (row_number() OVER (PARTITION BY snapshot_id, top ORDER BY path) - 1) // 4096 AS b FROM h),
+b AS (SELECT snapshot_id, top, b, sha256(string_agg(h, '' ORDER BY path)) AS d FROM r GROUP BY 1, 2, 3) SELECT snapshot_id, sha256(string_agg(d, '' ORDER BY top, b)) AS content_hash FROM b GROUP BY 1""")
+def agg_a19_repo_hash(spark, d):
+    return FI.repo_hash(table(spark, d, "source_files"))
+
+
+@query()
+def scan_s18_preflight(spark, d):
+    f = table(spark, d, "source_files")
+    return M.preflight(f, FI.repo_hash(f))
 
 
 @query("SELECT record_id, json_extract_string(payload, '$.path') AS path, try_cast(json_extract_string(payload, '$.confidence') AS DOUBLE) AS confidence FROM artifact_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'")
@@ -169,12 +197,6 @@ def scan_s16_catalog_filter(spark, d):
     return table(spark, d, "snapshots").where("status = 'done' and source = 'git'").select("snapshot_id", "repo_id", "commit_hash").distinct()
 
 
-@query("WITH h AS (SELECT DISTINCT snapshot_id, path, sha256(text) AS h FROM source_files WHERE text IS NOT NULL) SELECT snapshot_id, sha256(string_agg(h, '' ORDER BY path, h)) AS content_hash FROM h GROUP BY snapshot_id")
-def agg_a19_repo_hash(spark, d):
-    f = table(spark, d, "source_files").where("text is not null").select("snapshot_id", "path", "text").dropDuplicates(["snapshot_id", "path"])
-    return FI.repo_hash(f)
-
-
 # ---------------------------------------------------------------- projections
 
 
@@ -188,33 +210,18 @@ def proj_p02_normalized_rows(spark, d):
     return FI.normalized_rows(files(spark, d, "path", "size", "lines", "skipped", "skip_reason"))
 
 
-@query(f"WITH {IMPORTS}, n AS (SELECT snapshot_id, from_path AS path, count(*) AS n FROM imp GROUP BY 1, 2), f AS (SELECT DISTINCT snapshot_id, path FROM source_files) SELECT f.snapshot_id, f.path, concat_ws('. ', 'A ' || {lang_sql('f.path')} || ' file in ' || CASE WHEN regexp_extract(f.path, '^(.*)/[^/]*$', 1) = '' THEN 'the root' ELSE regexp_extract(f.path, '^(.*)/[^/]*$', 1) END, 'Lane ' || {LANE_SQL('f.path')}, CASE WHEN n.n > 0 THEN 'Imports ' || n.n || ' modules' END) AS blurb FROM f LEFT JOIN n ON n.snapshot_id = f.snapshot_id AND n.path = f.path")
-def proj_p04_blurbs(spark, d):
-    return FI.blurbs(table(spark, d, "source_files").select("snapshot_id", "path").distinct(), one_import(spark, d))
-
-
 @query(f"SELECT DISTINCT path, {LANE_SQL('path')} AS lane FROM source_files")
 def proj_p06_lane(spark, d):
     return table(spark, d, "source_files").select("path").distinct().select("path", FI.lane(F.col("path")).alias("lane"))
 
 
-@query(f"WITH p AS (SELECT DISTINCT unnest(string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/')) AS name FROM source_files) SELECT name, {match_sql('name', FI.PURPOSES, 'Other')} AS purpose FROM p WHERE name <> ''")
+@query(f"WITH p AS (SELECT DISTINCT unnest(string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/')) AS name FROM source_files) SELECT name, {PURPOSE_SQL} AS purpose FROM p WHERE name <> ''")
 def proj_p10_folder_purpose(spark, d):
     names = table(spark, d, "source_files").select(F.explode(F.split(directory(F.col("path")), "/")).alias("name")).where("name <> ''").distinct()
     return names.select("name", FI.folder_purpose(F.col("name")).alias("purpose"))
 
 
-_ENTRY = r"(?i)(^|/)(main|index|app|server|cli|manage|wsgi|asgi|handler|entry)\.[a-z]+$"
-_ENTRY_TEXT = r"(?:@?(?:app|router)\.(?:get|post|put|delete|patch)\s*\()|(?:queue\.process\s*\()"
-
-
-@query(f"WITH {FILES} SELECT file_id, path FROM files WHERE regexp_matches(path, {quote(_ENTRY)}) OR regexp_matches(text, {quote(_ENTRY_TEXT)})")
-def proj_p11_entrypoints(spark, d):
-    f = table(spark, d, "source_files").where(FI.entrypoint(F.col("path"), F.col("text")))
-    return latest_files(f, "path")
-
-
-@query("SELECT DISTINCT path, regexp_matches(path, '(?i)(^|/)(core|domain|services?|models?)/') AS core, regexp_matches(path, '(?i)(config|settings|\\.env|\\.ya?ml$|\\.toml$|\\.ini$|\\.json$|\\.cfg$|\\.properties$)') AS config FROM source_files")
+@query(f"SELECT DISTINCT path, {CORE_SQL('path')} AS core, {CONFIG_SQL('path')} AS config FROM source_files")
 def proj_p14_core_and_config(spark, d):
     p = F.col("path")
     return table(spark, d, "source_files").select("path").distinct().select("path", FI.core_file(p).alias("core"), FI.config_file(p).alias("config"))
@@ -222,8 +229,7 @@ def proj_p14_core_and_config(spark, d):
 
 @query(f"WITH {FILES} SELECT file_id, coalesce(strlen(text) > 8000 OR len(string_split(text, chr(10))) > 300, false) AS big FROM files")
 def proj_p17_big_files(spark, d):
-    f = files(spark, d, "text")
-    return f.select("file_id", FI.big(F.octet_length("text"), X.line_count(F.col("text")), 8000, 300).alias("big"))
+    return files(spark, d, FI.big(F.octet_length("text"), X.line_count(F.col("text")), 8000, 300).alias("big"))
 
 
 @query(f"WITH {IMPORTS} SELECT import_id, raw FROM imp WHERE resolved IS NULL AND (regexp_matches(raw, '^(\\.|/|@/)') OR regexp_matches(raw, '^(app|src|lib|server|backend|frontend|packages)/') OR (contains(raw, '.') AND NOT contains(raw, '/')))")
@@ -332,11 +338,10 @@ def join_j17_nearest_config(spark, d):
     return R.nearest_config(f, f.where(F.col("path").rlike(r"\.(ya?ml|toml|ini|cfg|json)$")))
 
 
-@query(f"WITH {EDGES}, need AS (SELECT DISTINCT dst AS path FROM edges WHERE resolved), con AS (SELECT DISTINCT path, 'contract' AS name FROM source_files WHERE path LIKE '%.ts') SELECT path, name, false AS stub FROM con UNION ALL SELECT path, 'stub' AS name, true FROM need WHERE path NOT IN (SELECT path FROM con)")
+@query(f"WITH {EDGES}, need AS (SELECT DISTINCT graph_id, dst AS path FROM edges WHERE resolved AND dst <> ''), con AS (SELECT DISTINCT snapshot_id AS graph_id, path, 'contract' AS name, 'pydantic.Model' AS kind FROM source_files WHERE path LIKE '%.ts') SELECT *, false AS stub FROM con UNION ALL SELECT graph_id, path, regexp_replace(string_split(path, '/')[-1], '(.)\\.[^.]*$', '\\1') AS name, 'api.Module', true FROM need WHERE NOT EXISTS (SELECT 1 FROM con WHERE con.graph_id = need.graph_id AND con.path = need.path)")
 def join_j18_contract_gaps(spark, d):
-    contracts = table(spark, d, "source_files").where("path like '%.ts'").select("path").distinct().withColumn("name", F.lit("contract"))
-    out = C.contract_gaps(edges(spark, d).where("resolved").select(F.col("dst").alias("path")), contracts)
-    return out.withColumn("name", F.when(F.col("stub"), "stub").otherwise(F.col("name")))
+    contracts = nodes(spark, d).where("id like '%.ts'").select("graph_id", F.col("id").alias("path"), F.lit("contract").alias("name"), F.lit("pydantic.Model").alias("kind"))
+    return C.contract_gaps(edges(spark, d).where("resolved").select("graph_id", F.col("dst").alias("path")), contracts)
 
 
 @query(f"WITH {EDGES}, w AS (SELECT DISTINCT snapshot_id AS graph_id, path AS id FROM source_files WHERE path LIKE '%/__init__.py') SELECT DISTINCT e.graph_id, src, dst FROM edges e WHERE EXISTS (SELECT 1 FROM w WHERE w.graph_id = e.graph_id AND (w.id = e.src OR w.id = e.dst))")
@@ -344,9 +349,9 @@ def join_j19_touching_edges(spark, d):
     return G.touching(edges(spark, d).select("graph_id", "src", "dst"), nodes(spark, d).where("id like '%/__init__.py'"))
 
 
-@query(f"WITH {EDGES}, w AS (SELECT DISTINCT snapshot_id AS graph_id, path AS id FROM source_files WHERE regexp_matches(path, {quote(_ENTRY)})), b AS (SELECT graph_id, src AS id, dst AS neighbour FROM edges UNION ALL SELECT graph_id, dst, src FROM edges) SELECT DISTINCT b.graph_id, b.id, b.neighbour FROM b JOIN w ON w.graph_id = b.graph_id AND w.id = b.id UNION SELECT graph_id, id, id FROM w")
+@query(f"WITH {EDGES}, w AS (SELECT DISTINCT snapshot_id AS graph_id, path AS id FROM source_files WHERE {ENTRY_SQL('path')}), b AS (SELECT graph_id, src AS id, dst AS neighbour FROM edges UNION ALL SELECT graph_id, dst, src FROM edges) SELECT DISTINCT b.graph_id, b.id, b.neighbour FROM b JOIN w ON w.graph_id = b.graph_id AND w.id = b.id UNION SELECT graph_id, id, id FROM w")
 def join_j20_neighbours(spark, d):
-    return G.neighbours(edges(spark, d), nodes(spark, d).where(FI.entrypoint(F.col("id"))))
+    return G.neighbours(edges(spark, d), nodes(spark, d).where(FI.entry_name(F.col("id"))))
 
 
 _MODULE = "replace(regexp_replace(regexp_replace(path, '\\.py$', ''), '/__init__$', ''), '/', '.')"
@@ -397,12 +402,6 @@ def agg_a03_import_totals(spark, d):
     return edges(spark, d).groupBy("graph_id").agg(F.count(F.lit(1)).alias("imports"), F.count_if("external").alias("external"), F.count_if(~F.col("external")).alias("internal"))
 
 
-@query("SELECT snapshot_id, count(DISTINCT warning_id) AS warnings, count(DISTINCT phase) AS phases, count(DISTINCT warning_id) FILTER (WHERE file IS NULL) AS without_file FROM parse_warnings GROUP BY 1")
-def agg_a04_merge_summary(spark, d):
-    w = table(spark, d, "parse_warnings")
-    return w.groupBy("snapshot_id").agg(F.countDistinct("warning_id").alias("warnings"), F.countDistinct("phase").alias("phases"), F.countDistinct(F.when(F.col("file").isNull(), F.col("warning_id"))).alias("without_file"))
-
-
 STATUS_SQL = "CASE WHEN hypothesis AND coalesce(confidence, 0) < 0.3 THEN 'quarantined' WHEN hypothesis OR coalesce(confidence, 0) < 0.5 THEN 'suggested' ELSE 'main' END"
 
 
@@ -428,9 +427,9 @@ def agg_a15_evidence(spark, d):
     return C.evidence(table(spark, d, "imports"))
 
 
-@query(f"SELECT snapshot_id, {LANE_SQL('path')} AS lane, count(DISTINCT path) AS files, min(path) AS first_path FROM source_files GROUP BY 1, 2")
+@query(f"SELECT snapshot_id, {LANE_SQL('path')} AS lane, string_agg(DISTINCT path, '|' ORDER BY path) AS paths FROM source_files GROUP BY 1, 2")
 def agg_a16_swimlanes(spark, d):
-    return C.swimlanes(table(spark, d, "source_files"))
+    return C.swimlanes(table(spark, d, "source_files")).withColumn("paths", F.array_join("paths", "|"))
 
 
 @query("WITH r AS (SELECT DISTINCT snapshot_id, string_split(path, '/')[1] AS area, path FROM source_files WHERE path LIKE '%/%'), n AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, area ORDER BY path) AS k FROM r) SELECT snapshot_id, area, min(path) AS entry, string_agg(path, '|' ORDER BY path) AS key_files FROM n WHERE k <= 10 GROUP BY 1, 2")
@@ -466,7 +465,7 @@ def agg_a24_queue_pivot(spark, d):
 
 @query(f"""WITH p AS (SELECT DISTINCT snapshot_id, string_split(path, '/') AS p FROM source_files), e AS (SELECT snapshot_id, p, unnest(range(1, len(p) + 1)) AS n FROM p),
 t AS (SELECT snapshot_id, array_to_string(p[1:n], '/') AS id, array_to_string(p[1:n-1], '/') AS parent_id, p[n] AS name, bool_and(n = len(p)) AS is_leaf FROM e GROUP BY 1, 2, 3, 4)
-SELECT snapshot_id, id, coalesce(parent_id, '') AS parent_id, name, is_leaf, CASE WHEN NOT is_leaf THEN {match_sql('name', FI.PURPOSES, 'Other')} END AS purpose FROM t""")
+SELECT snapshot_id, id, coalesce(parent_id, '') AS parent_id, name, is_leaf, CASE WHEN NOT is_leaf THEN {PURPOSE_SQL} END AS purpose FROM t""")
 def agg_a25_tree(spark, d):
     return FI.tree(table(spark, d, "source_files").select("snapshot_id", "path").distinct())
 
@@ -535,24 +534,16 @@ def top_o01_hubs(spark, d):
 
 
 @query(f"""WITH {EDGES}, {NODES}, e AS (SELECT DISTINCT graph_id, src, dst FROM edges), o AS (SELECT graph_id, src AS id, string_agg(dst, '|' ORDER BY dst) AS v FROM e GROUP BY 1, 2), i AS (SELECT graph_id, dst AS id, string_agg(src, '|' ORDER BY src) AS v FROM e GROUP BY 1, 2)
-SELECT n.graph_id, n.id, coalesce(i.v, '') AS incoming, coalesce(o.v, '') AS outgoing, {LANE_SQL('n.id')} AS lane, CASE WHEN i.v IS NULL THEN 'entrypoint' WHEN o.v IS NULL THEN 'sink' ELSE 'handler' END AS role FROM nodes n LEFT JOIN i ON i.graph_id = n.graph_id AND i.id = n.id LEFT JOIN o ON o.graph_id = n.graph_id AND o.id = n.id""")
+SELECT n.graph_id, n.id, coalesce(i.v, '') AS incoming, coalesce(o.v, '') AS outgoing, {LANE_SQL('n.id')} AS lane, CASE WHEN {ENTRY_SQL('n.id')} THEN 'entrypoint' WHEN o.v IS NULL THEN 'sink' ELSE 'handler' END AS role FROM nodes n LEFT JOIN i ON i.graph_id = n.graph_id AND i.id = n.id LEFT JOIN o ON o.graph_id = n.graph_id AND o.id = n.id""")
 def graph_g07_node_index(spark, d):
-    out = G.index(nodes(spark, d), edges(spark, d), FI.lane(F.col("id")))
+    out = G.index(nodes(spark, d), edges(spark, d), FI.lane(F.col("id")), FI.entry_name(F.col("id")))
     return out.select("graph_id", "id", F.array_join("incoming", "|").alias("incoming"), F.array_join("outgoing", "|").alias("outgoing"), "lane", "role")
 
 
-@query(f"""WITH {EDGES}, s AS (SELECT DISTINCT snapshot_id AS graph_id, path AS id FROM source_files WHERE regexp_matches(path, {quote(_ENTRY)})),
-o AS (SELECT graph_id, src AS id, count(*) FILTER (WHERE resolved) AS internal, count(*) FILTER (WHERE NOT resolved) AS external FROM (SELECT DISTINCT graph_id, src, dst, resolved FROM edges) GROUP BY 1, 2),
-i AS (SELECT graph_id, dst AS id, count(DISTINCT src) AS callers FROM edges WHERE resolved GROUP BY 1, 2)
-SELECT s.graph_id, s.id AS path, substr(sha256(s.graph_id || ':' || s.id), 1, 16) AS capability_id, {LANE_SQL('s.id')} AS lane, coalesce(internal, 0) AS internal, coalesce(external, 0) AS external, coalesce(callers, 0) AS callers FROM s LEFT JOIN o ON o.graph_id = s.graph_id AND o.id = s.id LEFT JOIN i ON i.graph_id = s.graph_id AND i.id = s.id""")
-def graph_g08_capabilities(spark, d):
-    return C.capabilities(table(spark, d, "source_files"), edges(spark, d))
-
-
 @query()
 def graph_g05_greedy_paths(spark, d):
     e = edges(spark, d).where("resolved")
-    return G.longest_path(G.greedy_paths(e, nodes(spark, d).where(FI.entrypoint(F.col("id")))))
+    return G.longest_path(G.greedy_paths(e, nodes(spark, d).where(FI.entry_name(F.col("id")))))
 
 
 @query()
@@ -561,7 +552,7 @@ def graph_g06_lane_islands(spark, d):
     return G.lane_islands(p.withColumn("lane", FI.lane(F.col("id")))).withColumn("ids", F.array_join("ids", "|"))
 
 
-@query(f"SELECT DISTINCT snapshot_id, path, CASE WHEN regexp_matches(path, {quote(_ENTRY)}) THEN 'entrypoint' WHEN regexp_matches(path, '(?i)(^|/)(core|domain|services?|models?)/') THEN 'core' WHEN regexp_matches(path, '(?i)(config|settings|\\.env|\\.ya?ml$|\\.toml$|\\.ini$|\\.json$|\\.cfg$|\\.properties$)') THEN 'config' END AS role FROM source_files WHERE role IS NOT NULL")
+@query(f"SELECT DISTINCT snapshot_id, path, CASE WHEN {ENTRY_SQL('path')} THEN 'entrypoint' WHEN {CORE_SQL('path')} THEN 'core' WHEN {CONFIG_SQL('path')} THEN 'config' END AS role FROM source_files WHERE role IS NOT NULL")
 def set_u01_context_files(spark, d):
     return C.context_files(table(spark, d, "source_files"))
 
@@ -589,64 +580,17 @@ def top_o12_shallowest_newest(spark, d):
     return f.groupBy("snapshot_id").agg(F.min_by("path", F.struct(F.size(F.split("path", "/")), -F.col("mtime"), "path")).alias("path"))
 
 
-# ---------------------------------------------------------------- detectors
-
-
-def detect_sql(names: tuple[str, ...]) -> str:
-    lines = (f"{FILES}, l AS (SELECT snapshot_id, path, {lang_sql('path')} AS language, unnest(range(1, len(t) + 1)) AS line, unnest(t) AS raw FROM (SELECT snapshot_id, path, string_split(text, chr(10)) AS t FROM files WHERE text IS NOT NULL)), "
-             "x AS (SELECT snapshot_id, path, language, line, rtrim(raw, chr(13)) AS text FROM l)")
-    part = lambda r: (
-        f"SELECT snapshot_id, path, CAST(line AS INT) AS line, {quote(r.detector)} AS detector, regexp_extract(text, {quote(r.pattern)}, 1) AS item, regexp_extract(text, {quote(r.pattern)}, 2) AS name, CAST({r.confidence} AS DOUBLE) AS confidence, {str(r.hypothesis).lower()} AS hypothesis FROM x WHERE language IN {IN(r.langs)} AND regexp_matches(text, {quote(r.pattern)})")
-    return f"WITH {lines} SELECT DISTINCT * FROM (" + " UNION ALL ".join(part(r) for r in DT.RULES if r.detector in names) + ")"
-
-
-def _detector(name: str, *detectors: str) -> None:
-    rules = [r for r in DT.RULES if r.detector in detectors]
-    query(detect_sql(detectors), name)(lambda spark, d: DT.detect(table(spark, d, "source_files"), rules))
-
-
-_detector("text_d05_routes", "express", "fastapi", "flask", "react-router")
-_detector("text_d08_jobs", "bull", "agenda", "celery", "job-name")
-_detector("text_d12_stores", "sequelize", "orm-class", "sql-table")
-_detector("text_d13_externals", "sdk", "wrapper", "env")
-_detector("text_e02_symbols", "function", "class", "arrow", "interface")
-
-
-@query("WITH f AS (SELECT DISTINCT snapshot_id, path, regexp_replace(path, '\\.(tsx|ts|jsx|js)$', '') AS p FROM source_files WHERE regexp_matches(path, '(^|/)pages/.*\\.(tsx|ts|jsx|js)$')), s AS (SELECT *, string_split(p, '/') AS t FROM f) SELECT snapshot_id, path, '/' || array_to_string(list_filter(t[list_position(t, 'pages') + 1:], lambda s: s <> 'index' AND s <> 'page'), '/') AS route, CASE WHEN regexp_matches(path, '(^|/)pages/api/') THEN 'ANY' ELSE 'GET' END AS method FROM s")
-def text_d02_page_routes(spark, d):
-    return DT.next_routes(table(spark, d, "source_files"))
-
-
-@query()
-def text_e12_python_items(spark, d):
-    return DT.python_items(table(spark, d, "source_files").dropDuplicates(["file_id"]))
-
-
-@query(f"WITH {FILES} SELECT file_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, 'process\\.env\\.([A-Z][A-Z0-9_]*)', 1), regexp_extract_all(text, 'os\\.environ\\[\"([A-Z][A-Z0-9_]*)\"\\]', 1), regexp_extract_all(text, 'os\\.getenv\\(\"([A-Z][A-Z0-9_]*)\"', 1)))), ',') AS keys FROM files WHERE text IS NOT NULL")
-def text_e22_env_keys(spark, d):
-    t = F.col("text")
-    all_ = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
-    keys = F.array_sort(F.array_distinct(F.concat(all_(r"process\.env\.([A-Z][A-Z0-9_]*)"), all_(r'os\.environ\["([A-Z][A-Z0-9_]*)"\]'), all_(r'os\.getenv\("([A-Z][A-Z0-9_]*)"'))))
-    return files(spark, d, "text").where("text is not null").select("file_id", F.array_join(keys, ",").alias("keys"))
-
-
-EFFECTS = [("net", r"\b(?:fetch|axios|httpx|requests|session\.post|client\.get)\b"), ("io", r"\b(?:readFile|writeFile|open)\("), ("db", r"\b(?:prisma|sequelize|Repo\.|[Ss]tore\.|SELECT )"), ("render", r"\b(?:render|useState)\("), ("async", r"\basync\b")]
-
-
-@query(f"WITH {FILES} SELECT file_id, " + " || ".join(f"CASE WHEN regexp_matches(text, {quote(p)}) THEN '{n},' ELSE '' END" for n, p in EFFECTS) + " AS effects FROM files WHERE text IS NOT NULL")
-def text_e09_side_effects(spark, d):
-    out = F.concat(*[F.when(F.col("text").rlike(p), f"{n},").otherwise("") for n, p in EFFECTS])
-    return files(spark, d, "text").where("text is not null").select("file_id", out.alias("effects"))
+# ---------------------------------------------------------------- texts
 
 
 _redact_sql = "message"
-for _p in X.REDACTIONS:
-    _redact_sql = f"regexp_replace({_redact_sql}, {quote(_p)}, '\\1=***REDACTED***', 'g')"
+for _words in ("api[_-]?key|secret|token|password|passwd|pwd", "auth[_-]?token|bearer[_-]?token|access[_-]?token", "private[_-]?key|public[_-]?key", "database[_-]?url|db[_-]?url|connection[_-]?string", "redis[_-]?url|mongodb[_-]?url"):
+    _redact_sql = f"regexp_replace({_redact_sql}, '(?i)({_words})\\s*[:=]\\s*[\"'']?[^\\s\"'']+[\"'']?', '\\1=***REDACTED***', 'g')"
 
 
-@query(f"SELECT DISTINCT warning_id, {_redact_sql} AS message FROM (SELECT warning_id, message || ' token=' || warning_id || '; Password: abc' AS message FROM parse_warnings)")
+@query(f"SELECT DISTINCT warning_id, {_redact_sql} AS message FROM (SELECT warning_id, message || ' token=' || warning_id || '; Password: abc db_url=x' AS message FROM parse_warnings)")
 def fn_redaction(spark, d):
-    w = table(spark, d, "parse_warnings").select("warning_id", F.concat("message", F.lit(" token="), F.col("warning_id").cast("string"), F.lit("; Password: abc")).alias("message")).distinct()
+    w = table(spark, d, "parse_warnings").select("warning_id", F.concat("message", F.lit(" token="), F.col("warning_id").cast("string"), F.lit("; Password: abc db_url=x")).alias("message")).distinct()
     return w.select("warning_id", X.redact(F.col("message")).alias("message"))
 
 
