@@ -257,10 +257,11 @@ def prefix_routes(includes: DataFrame, routes: DataFrame, roots: DataFrame) -> D
     """
     names = routes.select("file").union(includes.select("file")).distinct()
     # every ending of a path at a slash is a name of the file
-    parts = F.split("file", "/")
+    parts = F.split(F.regexp_replace("file", r"\.py$", ""), "/")
     ends = names.select(F.col("file").alias("_at"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))).alias("_name"))
     ends = ends.groupBy("_name").agg(F.min_by("_at", F.struct(F.length("_at"), "_at")).alias("target"))
-    wanted = F.when(F.col("_t").rlike(r"\.py$") | F.contains("_t", F.lit("/")), F.col("_t")).otherwise(F.concat(F.translate("_t", ".", "/"), F.lit(".py")))
+    bare = F.regexp_replace("_t", r"\.py$", "")
+    wanted = F.when(F.contains("_t", F.lit("/")), bare).otherwise(F.translate(bare, ".", "/"))
     links = includes.withColumnsRenamed({"target": "_t", "prefix": "_p"}).withColumn("_name", wanted).join(ends, "_name").select("file", "_p", "target")
     at = roots.select("file", F.lit("").alias("prefix"), F.array("file").alias("seen"))
     every = at

@@ -32,14 +32,19 @@ def runtime_score(seconds: Column, limit: float = THRESHOLDS["p95_runtime_second
     return F.when(seconds <= limit, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - (seconds - limit) / limit))
 
 
-def accuracy(files: DataFrame, seconds: Column, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
-    """files(by, has_imports, has_functions, imports, resolved) -> shares, the weighted total and files per second."""
+def accuracy(files: DataFrame, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
+    """files(has_imports, has_functions, imports, resolved) -> (files, import_share, function_share, resolved_share, overall)."""
     n = F.count(F.lit(1))
     a, b = ratio(F.count_if("has_imports"), n), ratio(F.count_if("has_functions"), n)
     c = ratio(F.sum("resolved"), F.sum("imports"))
     return files.agg(
         n.alias("files"), F.round(a, 6).alias("import_share"), F.round(b, 6).alias("function_share"), F.round(c, 6).alias("resolved_share"),
-        F.round(a * weights[0] + b * weights[1] + c * weights[2], 6).alias("overall"), F.round(ratio(n, seconds), 6).alias("files_per_second"))
+        F.round(a * weights[0] + b * weights[1] + c * weights[2], 6).alias("overall"))
+
+
+def throughput(files: Column, seconds: Column) -> Column:
+    """Files a second; 0 where no time was taken."""
+    return F.round(ratio(files, seconds), 6)
 
 
 def provenance_confidence(has_evidence: Column, resolved: Column, internal: Column) -> Column:

@@ -37,10 +37,14 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _labelled(values: Column, kind: str) -> Column:
+    return F.transform(values, lambda v: F.struct(v.alias("raw"), F.lit(kind).alias("kind")))
+
+
 def imports_of(files: DataFrame) -> DataFrame:
     """Imports as the text names them: (file_id, raw, kind), kind being esm, cjs or, for dynamic ones, esm."""
     t = F.col("text")
-    kinds = F.concat(*[F.transform(F.array_distinct(_all(t, p)), lambda r, k=k: F.struct(r.alias("raw"), F.lit(k).alias("kind"))) for p, k in ((IMPORT, "esm"), (REQUIRE, "cjs"), (DYNAMIC, "esm"))])
+    kinds = F.concat(*[_labelled(F.array_distinct(_all(t, p)), k) for p, k in ((IMPORT, "esm"), (REQUIRE, "cjs"), (DYNAMIC, "esm"))])
     rows = files.where(language(F.col("path")).isin("js", "ts"))
     return latest_files(rows, kinds.alias("found")).select("file_id", F.explode("found").alias("i")).select("file_id", "i.raw", "i.kind").distinct()
 
@@ -98,7 +102,10 @@ def profiles(files: DataFrame) -> DataFrame:
 def _bodies(files: DataFrame, where: Column, kinds: list[tuple[str, str]], field: str) -> DataFrame:
     """Named bodies with their fields: (file_id, path, name, kind, fields)."""
     t = F.col("text")
-    found = F.concat(*[F.arrays_zip(_all(t, p, 1).alias("name"), _all(t, p, 2).alias("body"), F.transform(_all(t, p, 1), lambda _, k=k: F.lit(k)).alias("kind")) for k, p in kinds])
+    def bodies(kind: str, pattern: str) -> Column:
+        return F.arrays_zip(_all(t, pattern, 1).alias("name"), _all(t, pattern, 2).alias("body"), F.transform(_all(t, pattern, 1), lambda _: F.lit(kind)).alias("kind"))
+
+    found = F.concat(*[bodies(k, p) for k, p in kinds])
     each = latest_files(files.where(where & t.isNotNull()), "path", F.transform(found, lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"), F.regexp_extract_all(x["body"], F.lit(field), F.lit(1)).alias("fields"))).alias("b"))
     return each.select("file_id", "path", F.explode("b").alias("b")).select("file_id", "path", "b.*")
 

@@ -170,17 +170,6 @@ def agg_a12_provenance_confidence(spark, d):
     return i.select("import_id", Q.provenance_confidence(F.size("evidence") > 0, F.col("resolved").isNotNull(), ~F.coalesce("external", F.lit(False))).alias("confidence"))
 
 
-@query("""WITH f AS (SELECT DISTINCT snapshot_id, path FROM source_files), i AS (SELECT snapshot_id, from_path AS path, count(*) AS n, count(resolved) AS r FROM (SELECT DISTINCT import_id, snapshot_id, from_path, resolved FROM imports) GROUP BY 1, 2),
-x AS (SELECT f.path, coalesce(i.n, 0) AS n, coalesce(i.r, 0) AS r FROM f LEFT JOIN i ON i.snapshot_id = f.snapshot_id AND i.path = f.path),
-s AS (SELECT count(*) AS files, CAST(count(*) FILTER (WHERE n > 0) AS DOUBLE) / count(*) AS a, CAST(count(*) FILTER (WHERE path LIKE '%.py') AS DOUBLE) / count(*) AS b, CAST(sum(r) AS DOUBLE) / sum(n) AS c FROM x)
-SELECT files, round(a, 6) AS import_share, round(b, 6) AS function_share, round(c, 6) AS resolved_share, round(a * 0.4 + b * 0.3 + c * 0.3, 6) AS overall, round(files / 10.0, 6) AS files_per_second FROM s""")
-def agg_a22_accuracy(spark, d):
-    f = table(spark, d, "source_files").select("snapshot_id", "path").distinct()
-    i = table(spark, d, "imports").dropDuplicates(["import_id"]).groupBy("snapshot_id", F.col("from_path").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.count("resolved").alias("r"))
-    x = f.join(i, ["snapshot_id", "path"], "left").select((F.coalesce("n", F.lit(0)) > 0).alias("has_imports"), F.col("path").like("%.py").alias("has_functions"), F.coalesce("n", F.lit(0)).alias("imports"), F.coalesce("r", F.lit(0)).alias("resolved"))
-    return Q.accuracy(x, F.lit(10.0))
-
-
 @query("SELECT path, count(*) AS n FROM (SELECT DISTINCT file_id, path FROM source_files) GROUP BY path HAVING count(*) > 1")
 def fn_repeated_paths(spark, d):
     return latest_files(table(spark, d, "source_files"), "path").groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarryline.plans import activity, code, data_quality
+from quarryline.plans import activity, code, data_quality, extraction
 
 FLAGSHIP = "top_o01_hubs"
-_PARTS = [code, activity, data_quality]
+_PARTS = [code, extraction, activity, data_quality]
 
 
 def queries() -> dict:

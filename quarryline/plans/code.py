@@ -415,13 +415,6 @@ def agg_a06_unresolved_ratio(spark, d):
     return G.unresolved_ratio(edges(spark, d))
 
 
-@query("SELECT kind, count(DISTINCT artifact_id) AS artifacts, round(CAST(count(*) - count(DISTINCT artifact_id) AS DOUBLE) / greatest(count(*), 1), 6) AS repeat_ratio, max(version) AS last_version FROM artifacts GROUP BY 1")
-def agg_a07_metrics(spark, d):
-    a = table(spark, d, "artifacts")
-    n, k = F.count(F.lit(1)), F.countDistinct("artifact_id")
-    return a.groupBy("kind").agg(k.alias("artifacts"), F.round((n - k) / F.greatest(n, F.lit(1)), 6).alias("repeat_ratio"), F.max("version").alias("last_version"))
-
-
 @query(f"WITH {IMPORTS}, e AS (SELECT i.snapshot_id, i.ord, unnest(t.evidence) AS e FROM imp i JOIN (SELECT DISTINCT import_id, evidence FROM imports) t ON t.import_id = i.import_id) SELECT snapshot_id, e.file AS file, e.start AS start, e.end AS \"end\", min(ord) AS ord FROM e GROUP BY 1, 2, 3, 4")
 def agg_a15_evidence(spark, d):
     return C.evidence(table(spark, d, "imports"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from quarryline.functions import paths as P
 from quarryline.functions import text as X
 from quarryline.operators import capability as C
-from quarryline.operators import detect as D
 from quarryline.operators import files as FI
 from quarryline.operators import graph as G
 from quarryline.operators import jobs as J
@@ -33,8 +32,8 @@ def test_language_and_extension(spark):
 
 
 def test_text_functions(spark):
-    r = one(spark, X.redact(F.lit("api_key=abc token: x9; ok")), X.title(F.lit("foo-bar baz_qux")), X.ratio(F.lit(1), F.lit(0)), X.join_urls(F.lit("/api/"), F.lit("/x")), X.line_count(F.lit("a\nb\n")), X.tokens(F.lit(None).cast("string")))
-    assert r[0] == "api_key=***REDACTED*** token=***REDACTED***; ok" and r[1] == "Foo-Bar Baz_Qux" and r[2] == 0.0 and r[3] == "/api/x" and r[4] == 3 and r[5] == []
+    r = one(spark, X.redact(F.lit("api_key=abc token: x9 db_url='z' ok")), X.title(F.lit("foo-bar baz_qux")), X.ratio(F.lit(1), F.lit(0)), X.join_urls(F.lit("/api/"), F.lit("/x")), X.line_count(F.lit("a\nb\n")), X.tokens(F.lit(None).cast("string")))
+    assert r[0] == "api_key=***REDACTED*** token=***REDACTED*** db_url=***REDACTED*** ok" and r[1] == "Foo-Bar Baz_Qux" and r[2] == 0.0 and r[3] == "/api/x" and r[4] == 3 and r[5] == []
     assert one(spark, X.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(2.0), F.lit(0.0))), X.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == (1.0, 0.0)
 
 
@@ -178,29 +177,32 @@ def test_precision_and_recall(spark):
     assert {r.by: (r.precision, r.recall) for r in got.collect()} == {"x": (0.5, 1.0), "y": (0.0, 0.0)}
 
 
-def test_detectors(spark):
-    text = "import { a } from 'express';\nrouter.get('/users/:id', async (req, res) => {\r\nconst k = process.env.API_URL;\nqueue.process('mail', f);\n"
-    py = '@app.post("/items")\nasync def add(x):\n    return os.environ["KEY"]\nclass A(BaseModel):\n    x: int\nclass B(A):\n    pass\n'
-    f = files(spark, ("a.ts", text, "", 0), ("b.py", py, "", 0), ("c.py", None, "", 0), ("d.py", "def (", "", 0))
-    got = {(r.path, r.detector, r.item, r.name, r.line) for r in D.detect(f).collect()}
-    assert {("a.ts", "express", "get", "/users/:id", 2), ("a.ts", "env", "process.env", "API_URL", 3), ("a.ts", "bull", "process", "mail", 4), ("b.py", "fastapi", "post", "/items", 1), ("b.py", "env", "os.environ", "KEY", 3)} <= got
-    items = D.python_items(f)
-    assert {(r.item, r.name) for r in items.collect()} >= {("route", "POST /items"), ("function", "add"), ("class", "A"), ("field", "A.x")}
-    assert {r.name for r in D.inherited_models(items).collect()} == {"A", "B"}
-
-
 def test_contract_gaps(spark):
-    need = spark.createDataFrame([("x/user_item.ts",), ("y.ts",)], "path string")
-    have = spark.createDataFrame([("y.ts", "Y")], "path string, name string")
-    assert {(r.path, r.name, r.stub) for r in C.contract_gaps(need, have).collect()} == {("y.ts", "Y", False), ("x/user_item.ts", "User_Item", True)}
+    need = spark.createDataFrame([("g", "x/user_item.ts"), ("g", "y.ts"), ("h", "y.ts")], "graph_id string, path string")
+    have = spark.createDataFrame([("g", "y.ts", "Y", "k")], "graph_id string, path string, name string, kind string")
+    assert {(r.graph_id, r.path, r.name, r.stub) for r in C.contract_gaps(need, have).collect()} == {("g", "y.ts", "Y", False), ("g", "x/user_item.ts", "user_item", True), ("h", "y.ts", "y", True)}
 
 
 def test_archive_guards(spark):
     rows = [("src/a.ts", 10, 5), ("../evil.txt", 1, 1), ("C:/x", 1, 1), ("node_modules/l.js", 1, 1), ("assets/logo.png", 1, 1), ("big.bin", 200, 100), ("bomb", 90, 0), ("z", 90, 1), ("con.txt", 1, 1), (None, 1, 1)]
-    e = spark.createDataFrame([(i, n, s, p, False) for i, (n, s, p) in enumerate(rows)], "ord int, name string, file_size bigint, packed_size bigint, is_dir boolean")
-    got = [r.verdict for r in archives.guarded(e, 10, max_file=100).orderBy("ord").collect()]
+    e = spark.createDataFrame([("z", i, n, s, p, False, 10) for i, (n, s, p) in enumerate(rows)], archives.ENTRY)
+    got = [r.verdict for r in archives.guarded(e, max_file=100).orderBy("ord").collect()]
     assert got == ["ok", "unsafe path", "unsafe path", "ignored", "ignored", "file too large", "ok", "ok", "unsafe path", "unsafe path"]
-    assert {r.verdict for r in archives.guarded(e, 10, max_entries=3).collect()} == {"too many entries"}
+    assert {r.verdict for r in archives.guarded(e, max_entries=3).collect()} == {"too many entries"} and {r.verdict for r in archives.guarded(e, max_archive=3).collect()} == {"archive too large"}
+
+
+def test_archives_are_read_and_unpacked(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("src/a.py", "x = 1")
+        z.writestr("../evil.txt", "no")
+        z.writestr("node_modules/b.js", "no")
+    (tmp_path / "b.zip").write_bytes(b"no zip")
+    folder = f"file://{tmp_path}"
+    verdicts = archives.guarded(archives.entries(spark, folder))
+    assert {(r.name, r.verdict) for r in verdicts.collect()} == {("src/a.py", "ok"), ("../evil.txt", "unsafe path"), ("node_modules/b.js", "ignored"), (None, "unsafe path")}
+    assert [(r.path, bytes(r.content)) for r in archives.extracted(spark, folder, verdicts).collect()] == [("src/a.py", b"x = 1")]
 
 
 def test_versioned_artifacts(spark, tmp_path):
@@ -217,5 +219,33 @@ def test_greedy_paths_are_not_cut(spark):
     e = spark.createDataFrame(chain, "graph_id string, src string, dst string").coalesce(1)
     starts = spark.createDataFrame([("g", "n000"), ("g", "n003")], "graph_id string, id string").coalesce(1)
     paths = G.longest_path(G.greedy_paths(e, starts)).orderBy("step").collect()
-    assert [r.id for r in paths] == [f"n{i:03}" for i in range(71)]
+    assert [r.id for r in paths] == [f"n{i:03}" for i in range(71)]  # beyond any short guard
     assert G.greedy_paths(e, starts, guard=3).count() == 6
+
+
+def test_caches_keys_and_fallbacks(spark):
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    assert {r.key for r in J.evicted(t([("c", "a", 1), ("c", "b", 3), ("c", "d", 2), ("e", "x", 1)], "cache string, key string, used_at int"), 2).collect()} == {"a"}
+    new = J.new_only(t([("a", 1), ("b", 2), ("b", 1)], "id string, ord int"), t([("a",)], "id string"), ["id"], ["ord"])
+    assert [tuple(r) for r in new.collect()] == [("b", 1)]
+    need, have = t([("g", "x"), ("g", "y"), ("h", "x")], "g string, k string"), t([("g", "x"), ("h", "x")], "g string, k string")
+    assert {(r.g, r.complete, r.missing) for r in J.lacking(need, have, "g", "k").collect()} == {("g", False, 1), ("h", True, 0)}
+    made = t([(k, f"s{k}") for k in range(9)], "ord int, v string")
+    assert S.sparse_fallback(t([("a",), ("b",)], "v string"), made).count() == 6 and S.sparse_fallback(t([("a",), ("b",), ("c",)], "v string"), made).count() == 3 and S.sparse_fallback(t([], "v string"), made).count() == 6
+    assert one(spark, J.batch_percent(F.lit(5), F.lit(10)), J.batch_percent(F.lit(0), F.lit(0)))[:] == (42, 35)
+    assert J.aliased(t([(None, 1)], "repo_id string, n int"), {"repo_id": "repoId"}, {"repo_id": "-"}).first().asDict() == {"repoId": "-", "n": 1}
+
+
+def test_best_summaries_need_no_pairs_of_all(spark):
+    f = spark.createDataFrame([("src/utils/api.ts",), ("src/x/Hero.tsx",), ("a/q.py",), (None,)], "path string")
+    s = spark.createDataFrame([(1, "The api.ts helper", "calls a tool", ""), (2, "superhero", "shows", ""), (3, "q", "", ""), (4, "about it", "see api.ts", "")], "id int, title string, purpose string, detail string")
+    assert {(r.path, r.id, r.score) for r in S.best_summaries(f, s).collect()} == {("src/utils/api.ts", 1, 220), ("src/x/Hero.tsx", 2, 80)}
+
+
+def test_hot_keys_are_split_by_their_rows(spark):
+    from quarryline.session import spread_left_join
+
+    left = spark.range(1000).select(F.lit("hot").alias("k"), "id").unionByName(spark.createDataFrame([(None, 1), ("cold", 2)], "k string, id bigint"))
+    right = spark.createDataFrame([("hot", 1), ("cold", 2), ("other", 3)], "k string, v int")
+    got = spread_left_join(left, right, ["k"], "id", rows=10)
+    assert got.count() == 1002 and got.where("v = 1").count() == 1000 and got.where("v is null").count() == 1

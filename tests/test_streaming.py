@@ -20,8 +20,8 @@ def test_state_equals_the_batch_fold(spark, tmp_path):
     got = {}
     for r in run(spark, tmp_path, E.fold_stream, "update"):
         if r.events >= got.get(r.job_id, (0,))[0]:
-            got[r.job_id] = (r.events, r.phase, r.started_at)
-    want = {r.job_id: (r.events, r.status, r.started_at) for r in J.fold_state(spark.createDataFrame(ROWS, E.EVENT)).collect()}
+            got[r.job_id] = (r.events, r.phase, r.started_at, r.completed_at, r.progress)
+    want = {r.job_id: (r.events, r.status, r.started_at, r.completed_at, r.progress) for r in J.fold_state(spark.createDataFrame(ROWS, E.EVENT)).collect()}
     assert got == want
 
 
@@ -33,3 +33,12 @@ def test_debounce_carries_over_batches(spark, tmp_path):
 def test_token_bucket_carries_over_batches(spark, tmp_path):
     got = {r.event_id for r in run(spark, tmp_path, lambda s: E.limited_stream(s, 1.0, 1 / 300), "append")}
     assert got == {r.event_id for r in J.token_bucket(spark.createDataFrame(ROWS, E.EVENT), 1.0, 1 / 300).collect() if r.allowed}
+
+
+def test_messages_and_percent(spark, tmp_path):
+    e = spark.createDataFrame(ROWS, E.EVENT)
+    assert {r.type for r in E.typed(e).collect()} == {"progress", "error"} and E.of_job(e, 1).count() == 4
+    got = {}
+    for r in run(spark, tmp_path, lambda s: E.percent_stream(s, 8), "update"):
+        got[r.job_id] = max(got.get(r.job_id, 0), r.percent)
+    assert got == {0: 42, 1: 42}
