@@ -245,8 +245,19 @@ def centrality(edges: DataFrame) -> DataFrame:
     d = ends.groupBy("graph_id", "id").agg(F.count(F.lit(1)).alias("n")).join(n, "graph_id")
     deg = F.round(ratio(F.col("n"), F.col("total")), 6)
     score = deg * 0.71
-    w = Window.partitionBy("graph_id").orderBy(F.desc("n"), "id")
-    return d.select("graph_id", "id", deg.alias("degree"), score.alias("score"), F.row_number().over(w).alias("rank"))
+    return ranked(d.select("graph_id", "id", "n", deg.alias("degree"), score.alias("score")), "n").drop("n")
+
+
+def ranked(rows: DataFrame, by: str) -> DataFrame:
+    """Rank within each graph by a whole number, greatest first, ties by id; a graph is not sorted in one task.
+
+    Rows are ranked within those of one value; how many come before a value is a sum over the graph's distinct values.
+    """
+    values = rows.groupBy("graph_id", by).agg(F.count(F.lit(1)).alias("_m"))
+    before = F.sum("_m").over(Window.partitionBy("graph_id").orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1))
+    values = values.select("graph_id", by, F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("graph_id", by).orderBy("id"))
+    return rows.withColumn("_k", within).join(values, ["graph_id", by]).withColumn("rank", (F.col("_before") + F.col("_k")).cast("int")).drop("_before", "_k")
 
 
 def prefix_routes(includes: DataFrame, routes: DataFrame, roots: DataFrame) -> DataFrame:

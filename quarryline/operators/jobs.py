@@ -68,22 +68,30 @@ def next_versions(rows: DataFrame, new: DataFrame, keys: list[str], version: str
 
 
 def token_bucket(events: DataFrame, capacity: float, rate: float, cost: float = 1.0) -> DataFrame:
-    """Replay of a token bucket per job: (event_id, job_id, allowed). Sequential by nature, so a grouped Arrow function."""
+    """Replay of a token bucket per job: (event_id, job_id, allowed).
+
+    The replay is sequential by nature: the events of a job come to one task, sorted, and pass through it in batches;
+    only the level is held, never a job's log.
+    """
     import pandas as pd
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-        level, before, out = capacity, None, []
-        for t in pdf.ts:
-            if before is not None:
-                level = min(capacity, level + (t - before).total_seconds() * rate)
-            before = t
-            ok = level >= cost
-            level -= cost if ok else 0
-            out.append(ok)
-        return pd.DataFrame({"event_id": pdf.event_id, "job_id": pdf.job_id, "allowed": out})
-
-    return events.select("event_id", "job_id", "ts").groupBy("job_id").applyInPandas(replay, "event_id bigint, job_id bigint, allowed boolean")
+    def replay(batches):
+        job, level, before = None, capacity, None
+        for pdf in batches:
+            out = []
+            for j, t in zip(pdf.job_id, pdf.ts):
+                if j != job:
+                    job, level, before = j, capacity, None
+                if before is not None:
+                    level = min(capacity, level + (t - before).total_seconds() * rate)
+                before = t
+                ok = level >= cost
+                level -= cost if ok else 0
+                out.append(ok)
+            yield pd.DataFrame({"event_id": pdf.event_id, "job_id": pdf.job_id, "allowed": out})
+
+    rows = events.where("job_id is not null and ts is not null").select("event_id", "job_id", "ts").repartition("job_id").sortWithinPartitions("job_id", "ts", "event_id")
+    return rows.mapInPandas(replay, "event_id bigint, job_id bigint, allowed boolean")
 
 
 def ready_tasks(tasks: DataFrame, needs: DataFrame, done: DataFrame) -> DataFrame:

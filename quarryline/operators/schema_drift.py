@@ -3,7 +3,9 @@
 Every artifact gets a fingerprint of its fields and their types. Consecutive versions with different fingerprints yield
 migration steps: ``renamed``, ``retyped``, ``added`` or ``removed``. A record is routed through the chain of steps that
 lies between its own version and the last one: renames give each field its canonical name, retypes cast it to the last
-type, fields that are missing get the default null.
+type, fields that are missing get the default null. A cast that fails leaves null and is marked.
+
+Payloads are parsed once, into cells, which every later step reads from a checkpoint.
 
 Defined results: null, unreadable and non-object payloads carry no fields; repeated lines count once; a field with only
 nulls exists but has no type, so it is never retyped; an empty table gives no rows; further columns are ignored.
@@ -14,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.session import checkpointed
+
 #: The names of the types of JSON values.
 TYPE_NAMES = {"STRING": "string", "BOOLEAN": "boolean", "BIGINT": "number", "DOUBLE": "number", "FLOAT": "number"}
 #: Versions in one block of the two-level search for the previous version.
@@ -50,19 +54,10 @@ def readable(records: DataFrame) -> DataFrame:
     return parsed.withColumn("path", F.try_variant_get("_v", "$.path", "string"))
 
 
-def cells(records: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """Every field of every readable record: (artifact_id, record_id, path, field, type, value); value is canonical JSON.
-
-    ``wanted`` (artifact_id, names array) restricts it to some fields of some artifacts before records are taken apart.
-    """
-    rows = records.select("artifact_id", "record_id", "payload")
-    if wanted is not None:
-        rows = rows.join(wanted.select("artifact_id", F.col("names").alias("_names")), "artifact_id")
-    parsed = readable(rows)
-    spark = records.sparkSession
-    out = parsed.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
-    if wanted is not None:
-        out = out.where(F.array_contains("_names", F.col("key")))
+def cells(records: DataFrame) -> DataFrame:
+    """Every field of every readable record: (artifact_id, record_id, path, field, type, value); value is canonical JSON."""
+    parsed = readable(records.select("artifact_id", "record_id", "payload"))
+    out = parsed.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("_v").outer()))
     kind = F.schema_of_variant("value")
     named = F.lit(None).cast("string")
     for name, plain in TYPE_NAMES.items():
@@ -87,9 +82,12 @@ def fingerprints(fields: DataFrame) -> DataFrame:
     return out.select("artifact_id", F.map_from_entries("_f").alias("fields"), F.md5(F.to_json("_f")).alias("fingerprint"))
 
 
-def migration_steps(artifacts: DataFrame, records: DataFrame) -> DataFrame:
-    """Each change between consecutive versions: (artifact_id, change, old_field, new_field, old_type, new_type)."""
-    seen = cells(records)
+def migration_steps(artifacts: DataFrame, records: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Each change between consecutive versions: (artifact_id, change, old_field, new_field, old_type, new_type).
+
+    ``seen`` may give the records' cells where they are at hand.
+    """
+    seen = checkpointed(cells(records)) if seen is None else seen
     prints = fingerprints(seen)
     chain = ordered_artifacts(artifacts).select("artifact_id", "prev_id")
     empty = F.expr("cast(map() as map<string,string>)")
@@ -107,7 +105,8 @@ def migration_steps(artifacts: DataFrame, records: DataFrame) -> DataFrame:
 
     # values are read only of the fields that went or came, and only where both happened
     both = pairs.where("size(gone) > 0 and size(come) > 0")
-    seen_in = lambda w: cells(records, w).where("path is not null and value <> 'null'")
+    told = seen.where("path is not null and value <> 'null'").select("artifact_id", "path", "field", "value")
+    seen_in = lambda w: told.join(w, "artifact_id").where(F.array_contains("names", F.col("field")))
     went = both.select(F.col("prev_id").alias("artifact_id"), F.col("gone").alias("names"))  # a version has one successor
     before = seen_in(went).select(F.col("artifact_id").alias("prev_id"), "path", F.col("field").alias("old_field"), F.col("value").alias("old_value")).distinct()
     before = before.join(both.select("artifact_id", "prev_id"), "prev_id")
@@ -136,19 +135,21 @@ def migration_steps(artifacts: DataFrame, records: DataFrame) -> DataFrame:
         "artifact_id", "s.*", F.try_element_at("old", F.col("s.old_field")).alias("old_type"), F.try_element_at("new", F.col("s.new_field")).alias("new_type"))
 
 
-def consistent_table(artifacts: DataFrame, records: DataFrame, steps: DataFrame) -> DataFrame:
-    """All readable records in one table: (record_id, artifact_id, snapshot_id, kind, version, path, field, type, value, source_field).
+def consistent_table(artifacts: DataFrame, records: DataFrame, steps: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """All readable records in one table.
+
+    (record_id, artifact_id, snapshot_id, kind, version, path, field, type, value, source_field, cast_failed).
 
     Long form, one row per field of the last version of the record's chain; a field that the record lacks is null and
     has no source_field. Records of unknown artifacts, or of artifacts without a version, have no chain and keep their
     own fields; a record without any field keeps one row with a null field. The names are canonical: renames between
     the record's version and the last version are followed by pointer doubling, so the number of rounds is the
     logarithm of the longest chain. Values are cast to the field's last type where JSON allows it, else null with the
-    type kept; fields that later versions removed keep their last name.
+    type kept and cast_failed true; fields that later versions removed keep their last name.
     """
     chain = ordered_artifacts(artifacts)
     nxt = chain.where("prev_id is not null").select(F.col("prev_id").alias("artifact_id"), F.col("artifact_id").alias("next_id"))
-    seen = cells(records)
+    seen = checkpointed(cells(records)) if seen is None else seen
     held = seen.select("artifact_id", "field").distinct()
     named = steps.where("change = 'renamed'").select(F.col("artifact_id").alias("next_id"), F.col("old_field").alias("field"), "new_field")
     hop = held.join(nxt, "artifact_id", "left").join(named, ["next_id", "field"], "left").select(
@@ -157,8 +158,6 @@ def consistent_table(artifacts: DataFrame, records: DataFrame, steps: DataFrame)
     there = held.select(F.col("artifact_id").alias("to_id"), F.col("field").alias("to_field"), F.lit(True).alias("_there"))
     hop = hop.join(there, ["to_id", "to_field"], "left").select(
         "artifact_id", "field", F.when(F.col("_there"), F.col("to_id")).alias("to_id"), F.when(F.col("_there"), F.col("to_field")).otherwise(F.col("field")).alias("to_field"))
-    from quarryline.session import checkpointed
-
     hop = checkpointed(hop)
     while True:
         far = hop.select(F.col("artifact_id").alias("to_id"), F.col("field").alias("to_field"), F.col("to_id").alias("_id2"), F.col("to_field").alias("_field2"))
@@ -186,7 +185,8 @@ def consistent_table(artifacts: DataFrame, records: DataFrame, steps: DataFrame)
     key = F.struct(F.col("version").isNull().alias("_n"), "snapshot_id", "kind", "version")
     meta = artifacts.where("artifact_id is not null").groupBy("artifact_id").agg(F.min_by(F.struct("snapshot_id", "kind", "version"), key).alias("_m")).select("artifact_id", "_m.*")
     one = seen.join(final, ["artifact_id", "field"], "left").select(
-        "record_id", "artifact_id", "path", F.coalesce("_name", "field").alias("field"), F.coalesce("_type", "type").alias("type"), cast.alias("value"), F.col("field").alias("source_field"))
+        "record_id", "artifact_id", "path", F.coalesce("_name", "field").alias("field"), F.coalesce("_type", "type").alias("type"), cast.alias("value"), F.col("field").alias("source_field"),
+        (cast.isNull() & (F.col("value") != "null")).alias("cast_failed"))
     # the fields of the chain's last version that a record lacks
     last = chain.groupBy("snapshot_id", "kind").agg(F.max_by("artifact_id", F.struct("version", "artifact_id")).alias("_last"))
     ends = chain.alias("c").join(last.alias("l"), F.col("c.snapshot_id").eqNullSafe(F.col("l.snapshot_id")) & F.col("c.kind").eqNullSafe(F.col("l.kind"))).select("c.artifact_id", "l._last")
@@ -195,10 +195,10 @@ def consistent_table(artifacts: DataFrame, records: DataFrame, steps: DataFrame)
     rows = readable(records.select("artifact_id", "record_id", "payload")).select("record_id", "artifact_id", "path").distinct()
     lacking = rows.join(wanted, "artifact_id").join(one.select("record_id", "artifact_id", "field").distinct(), ["record_id", "artifact_id", "field"], "left_anti")
     none = F.lit(None).cast("string")
-    lacking = lacking.select("record_id", "artifact_id", "path", "field", "type", none.alias("value"), none.alias("source_field"))
+    lacking = lacking.select("record_id", "artifact_id", "path", "field", "type", none.alias("value"), none.alias("source_field"), F.lit(False).alias("cast_failed"))
     every = one.unionByName(lacking)
     # a record without any field, where the last version has none either
     empty = rows.join(every.select("record_id").distinct(), "record_id", "left_anti")
-    empty = empty.select("record_id", "artifact_id", "path", none.alias("field"), none.alias("type"), none.alias("value"), none.alias("source_field"))
+    empty = empty.select("record_id", "artifact_id", "path", none.alias("field"), none.alias("type"), none.alias("value"), none.alias("source_field"), F.lit(False).alias("cast_failed"))
     return every.unionByName(empty).join(meta, "artifact_id", "left").select(
-        "record_id", "artifact_id", "snapshot_id", "kind", "version", "path", "field", "type", "value", "source_field")
+        "record_id", "artifact_id", "snapshot_id", "kind", "version", "path", "field", "type", "value", "source_field", "cast_failed")

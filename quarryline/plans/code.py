@@ -446,8 +446,11 @@ def agg_a21_fallback_samples(spark, d):
     from pyspark.sql import Window
 
     w = table(spark, d, "parse_warnings").select("warning_id", F.coalesce("reason_code", F.lit("unknown")).alias("reason")).distinct()
-    few = w.withColumn("k", F.row_number().over(Window.partitionBy("reason").orderBy("warning_id")))
-    return few.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 10, F.col("warning_id")))), ",").alias("sample"))
+    # reasons are few and hot: the first ten of each slice, then the first ten of these
+    few = w.withColumn("k", F.row_number().over(Window.partitionBy("reason", F.pmod(F.xxhash64("warning_id"), F.lit(256))).orderBy("warning_id"))).where("k <= 10")
+    first = few.withColumn("k", F.row_number().over(Window.partitionBy("reason").orderBy("warning_id"))).where("k <= 10")
+    sample = first.groupBy("reason").agg(F.array_join(F.array_sort(F.collect_list("warning_id")), ",").alias("sample"))
+    return w.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).join(sample, "reason")
 
 
 @query("WITH s AS (SELECT DISTINCT snapshot_id, source, status FROM snapshots) SELECT coalesce(source, 'none') AS source, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status NOT IN ('done', 'failed')) AS other FROM s GROUP BY 1")
@@ -533,13 +536,18 @@ def graph_g07_node_index(spark, d):
     return out.select("graph_id", "id", F.array_join("incoming", "|").alias("incoming"), F.array_join("outgoing", "|").alias("outgoing"), "lane", "role")
 
 
-@query()
+_WALKS = f"""{EDGES}, hop AS (SELECT DISTINCT graph_id, src, dst FROM edges WHERE resolved AND src <> dst), starts AS (SELECT DISTINCT snapshot_id AS graph_id, path AS id FROM source_files WHERE {ENTRY_SQL('path')}),
+walk AS (SELECT graph_id, id AS start, id AS at, [id] AS path FROM starts UNION ALL SELECT graph_id, start, nxt, list_append(path, nxt) FROM (SELECT w.graph_id, w.start, w.path, min(h.dst) AS nxt FROM walk w JOIN hop h ON h.graph_id = w.graph_id AND h.src = w.at WHERE NOT list_contains(w.path, h.dst) GROUP BY 1, 2, 3) WHERE len(path) < 1000),
+longest AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY len(path) DESC, start) = 1), steps AS (SELECT graph_id, start, unnest(range(0, len(path))) AS step, unnest(path) AS id FROM longest)"""
+
+
+@query(f"WITH RECURSIVE {_WALKS} SELECT graph_id, start, CAST(step AS INT) AS step, id FROM steps")
 def graph_g05_greedy_paths(spark, d):
     e = edges(spark, d).where("resolved")
     return G.longest_path(G.greedy_paths(e, nodes(spark, d).where(FI.entry_name(F.col("id")))))
 
 
-@query()
+@query(f"WITH RECURSIVE {_WALKS}, l AS (SELECT *, {LANE_SQL('id')} AS lane FROM steps), c AS (SELECT *, CASE WHEN lane IS DISTINCT FROM lag(lane) OVER (PARTITION BY graph_id, start ORDER BY step) THEN 1 ELSE 0 END AS c FROM l), i AS (SELECT *, sum(c) OVER (PARTITION BY graph_id, start ORDER BY step) AS island FROM c) SELECT graph_id, start, CAST(island AS BIGINT) AS island, lane, string_agg(id, '|' ORDER BY step) AS ids FROM i GROUP BY 1, 2, 3, 4")
 def graph_g06_lane_islands(spark, d):
     p = graph_g05_greedy_paths(spark, d)
     return G.lane_islands(p.withColumn("lane", FI.lane(F.col("id")))).withColumn("ids", F.array_join("ids", "|"))
@@ -592,6 +600,14 @@ def fn_tokens(spark, d):
     return table(spark, d, "source_files").select("path").distinct().select("path", F.array_join(X.tokens(F.col("path")), "|").alias("tokens"), F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
-@query()
+def _clean_sql(e: str) -> str:
+    """A path with one spelling: backslashes, repeated slashes and '.' go, eight folders at most are climbed."""
+    out = f"regexp_replace(regexp_replace(replace(replace({e}, chr(92), '/'), '/./', '/'), '/+', '/', 'g'), '^(\\./)+', '')"
+    for _ in range(8):
+        out = f"regexp_replace({out}, '(^|/)(?:[^/.][^/]*|\\.[^/.][^/]*|\\.\\.[^/]+)/\\.\\./', '\\1')"
+    return f"ltrim({out}, '/')"
+
+
+@query(f"SELECT DISTINCT import_id, {_clean_sql('resolved')} AS path FROM imports WHERE resolved IS NOT NULL")
 def fn_normalized_paths(spark, d):
     return table(spark, d, "imports").where("resolved is not null").select("import_id", normalized(F.col("resolved")).alias("path")).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.operators import orphans as O
 from quarryline.operators import schema_drift as D
+from quarryline.session import checkpointed
 from quarryline.sources.tables import table
 
 
@@ -22,7 +23,8 @@ def p2_steps(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     a, r = table(spark, d, "artifacts"), table(spark, d, "artifact_records")
-    return D.consistent_table(a, r, D.migration_steps(a, r))
+    seen = checkpointed(D.cells(r))
+    return D.consistent_table(a, r, D.migration_steps(a, r, seen), seen)
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -76,14 +78,15 @@ a AS (SELECT DISTINCT artifact_id, snapshot_id, kind, version FROM artifacts),
 p AS (SELECT artifact_id, lag(artifact_id) OVER (PARTITION BY snapshot_id, kind ORDER BY version, artifact_id) AS prev_id FROM a),
 gone AS (SELECT p.artifact_id, p.prev_id, o.field FROM p JOIN f o ON o.artifact_id = p.prev_id WHERE NOT EXISTS (SELECT 1 FROM f n WHERE n.artifact_id = p.artifact_id AND n.field = o.field)),
 come AS (SELECT p.artifact_id, n.field FROM p JOIN f n ON n.artifact_id = p.artifact_id WHERE p.prev_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f o WHERE o.artifact_id = p.prev_id AND o.field = n.field)),
-m AS (SELECT g.artifact_id, g.field AS old_field, k.field AS new_field FROM gone g JOIN come k ON k.artifact_id = g.artifact_id JOIN t x ON x.artifact_id = g.prev_id AND x.field = g.field AND x.type IS NOT NULL JOIN t y ON y.artifact_id = k.artifact_id AND y.field = k.field AND y.type IS NOT NULL AND y.path = x.path GROUP BY 1, 2, 3 HAVING bool_and(x.value = y.value))
-SELECT artifact_id, 'renamed' AS change, old_field, new_field FROM m
+m AS (SELECT g.artifact_id, g.field AS old_field, k.field AS new_field FROM gone g JOIN come k ON k.artifact_id = g.artifact_id JOIN t x ON x.artifact_id = g.prev_id AND x.field = g.field AND x.type IS NOT NULL JOIN t y ON y.artifact_id = k.artifact_id AND y.field = k.field AND y.type IS NOT NULL AND y.path = x.path GROUP BY 1, 2, 3 HAVING bool_and(x.value = y.value))"""
+_P2_STEPS = """SELECT artifact_id, 'renamed' AS change, old_field, new_field FROM m
 UNION SELECT artifact_id, 'removed', field, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.artifact_id = g.artifact_id AND m.old_field = g.field)
 UNION SELECT artifact_id, 'added', '', field FROM come g WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.artifact_id = g.artifact_id AND m.new_field = g.field)
 UNION SELECT p.artifact_id, 'retyped', n.field, n.field FROM p JOIN f n ON n.artifact_id = p.artifact_id JOIN f o ON o.artifact_id = p.prev_id AND o.field = n.field WHERE n.type <> o.type"""
 
 SQL: dict[str, str] = {
-    "p2_found": _P2,
+    "p2_found": _P2 + " " + _P2_STEPS,
+    "p2_steps": _P2 + f", s AS ({_P2_STEPS}) SELECT s.*, o.type AS old_type, n.type AS new_type FROM s JOIN p ON p.artifact_id = s.artifact_id LEFT JOIN f o ON o.artifact_id = p.prev_id AND o.field = s.old_field LEFT JOIN f n ON n.artifact_id = s.artifact_id AND n.field = s.new_field",
     "p5_found": _P5 + "SELECT DISTINCT ref_table, ref_id, status FROM o WHERE status IS NOT NULL",
     "p5_counts": _P5 + "SELECT ref_table, strftime(t, '%Y-%m') AS month, status, count(*) AS n FROM (SELECT DISTINCT * FROM o WHERE status IS NOT NULL) GROUP BY 1, 2, 3",
 }

@@ -36,7 +36,16 @@ def test_query(spark, small, name):
         assert got == sorted((tuple(plain(r[names.index(x)]) for x in cols) for r in c.fetchall()), key=repr)
 
 
-def test_entry_works_without_the_training_part(spark, small):
-    import __spark_entry__ as e
+def test_entry_works_without_the_training_part(spark, small, monkeypatch):
+    import importlib
+    import sys
 
-    assert e.entry(spark).count() > 0 and set(catalog.queries()) <= set(e.queries())
+    monkeypatch.setitem(sys.modules, "quarryline.llm", None)
+    sys.modules.pop("__spark_entry__", None)
+    e = importlib.import_module("__spark_entry__")
+    assert e.training is None and e.entry(spark).count() > 0 and set(catalog.queries()) == set(e.queries())
+    sys.modules.pop("__spark_entry__", None)
+
+
+def test_every_oracle_has_its_query():
+    assert set(catalog.oracle_sql()) <= set(catalog.queries())
