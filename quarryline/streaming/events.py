@@ -19,8 +19,8 @@ from quarryline.operators.jobs import TERMINAL, batch_percent
 EVENT = "event_id bigint, ts timestamp, job_id bigint, phase string, value double"
 STATE = "phase string, started timestamp, completed timestamp, progress double, events bigint, last_ts timestamp, last_id bigint"
 FOLDED = "job_id bigint, phase string, started_at timestamp, completed_at timestamp, progress double, events bigint"
-#: Milliseconds after which the state of a silent job is dropped.
-DAY = 24 * 3600 * 1000
+#: Milliseconds of event time after which the state of a silent job is dropped, and how late an event may come.
+DAY, LATE = 24 * 3600 * 1000, "1 hour"
 # The types of events that a job emits.
 TYPES = ["phase", "progress", "artifact", "warning", "done", "error"]
 
@@ -30,6 +30,11 @@ def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def _keep(state: GroupState, ts: pd.Timestamp, expire_ms: int) -> None:
+    """Let the state live until the watermark is past its last event by ``expire_ms``."""
+    state.setTimeoutTimestamp(max(int(pd.Timestamp(ts).timestamp() * 1000) + expire_ms, state.getCurrentWatermarkMs() + 1000))
+
+
 def of_job(events: DataFrame, job_id: int) -> DataFrame:
     """The stream of one job."""
     return events.where(F.col("job_id") == job_id)
@@ -61,10 +66,10 @@ def fold_stream(events: DataFrame, expire_ms: int = DAY, terminal: tuple[str, ..
                 if last_ts is None or (ts, i) > (last_ts, last_id):
                     phase, progress, last_ts, last_id = p, v, ts, i
         state.update((phase, started, completed, progress, n, last_ts, last_id))
-        state.setTimeoutDuration(expire_ms)
+        _keep(state, last_ts, expire_ms)
         yield pd.DataFrame({"job_id": [key[0]], "phase": [phase], "started_at": [started], "completed_at": [completed], "progress": [progress], "events": [n]})
 
-    return events.groupBy("job_id").applyInPandasWithState(fold, FOLDED, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", LATE).groupBy("job_id").applyInPandasWithState(fold, FOLDED, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -86,10 +91,10 @@ def debounced_stream(events: DataFrame, least: float = 5.0, expire_ms: int = DAY
             keep.append(last is None or abs(v - last) >= least)
             last = v
         state.update((last,))
-        state.setTimeoutDuration(expire_ms)
+        _keep(state, rows.ts.iloc[-1], expire_ms)
         yield rows[keep][["event_id", "ts", "job_id", "phase", "value"]]
 
-    return events.groupBy("job_id").applyInPandasWithState(step, EVENT, "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", LATE).groupBy("job_id").applyInPandasWithState(step, EVENT, "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def limited_stream(events: DataFrame, capacity: float, rate: float, expire_ms: int = DAY) -> DataFrame:
@@ -109,10 +114,10 @@ def limited_stream(events: DataFrame, capacity: float, rate: float, expire_ms: i
             keep.append(level >= 1)
             level -= 1 if keep[-1] else 0
         state.update((level, before))
-        state.setTimeoutDuration(expire_ms)
+        _keep(state, rows.ts.iloc[-1], expire_ms)
         yield rows[keep][["event_id", "ts", "job_id", "phase", "value"]]
 
-    return events.groupBy("job_id").applyInPandasWithState(step, EVENT, "level double, before timestamp", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", LATE).groupBy("job_id").applyInPandasWithState(step, EVENT, "level double, before timestamp", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def percent_stream(events: DataFrame, total: int, start: int = 35, span: int = 15) -> DataFrame:

@@ -10,7 +10,7 @@ def run(spark, tmp_path, transform, mode):
     for k in range(2):
         spark.createDataFrame(ROWS[k * 4 : k * 4 + 4], E.EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     q = transform(E.read_events(spark, f"{tmp_path}/in")).writeStream.outputMode(mode).format("memory").queryName("out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination(180)
+    assert q.awaitTermination(100)
     out = spark.table("out").collect()
     q.stop()
     return out
