@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import credential_names as N
+from quarryline.session import has
 
 #: Number of generated lines that the model is fitted on.
 SAMPLE = 4500
@@ -604,17 +605,21 @@ def _weights(spark: SparkSession):
 
 
 def credential_lines(files: DataFrame) -> DataFrame:
-    """(file_id, line_no) of every line with a literal credential."""
+    """(file_id, line_no) of every line with a literal credential in the last delivery of each file."""
     told = _weights(files.sparkSession)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = Field(told.value[0], np.array(told.value[1]), told.value[2])
         for pdf in batches:
-            rows = [(i, n) for i, t in zip(pdf.file_id, pdf.text) for n in found_lines(t, field)]
-            yield pd.DataFrame(rows, columns=["file_id", "line_no"])
-
-    rows = files.where("text is not null and text <> '' and file_id is not null").select("file_id", "text")
-    return rows.mapInPandas(find, "file_id bigint, line_no int").distinct()
+            rows = [(i, at, n) for i, at, t in zip(pdf.file_id, pdf.arrived_at, pdf.text) for n in found_lines(t, field)]
+            yield pd.DataFrame(rows, columns=["file_id", "arrived_at", "line_no"])
+
+    at = F.coalesce(has(files, "arrived_at", "timestamp").cast("timestamp_ntz"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("arrived_at")
+    rows = files.where("file_id is not null").select("file_id", at, "text")
+    found = rows.where("text is not null and text <> ''").mapInPandas(find, "file_id bigint, arrived_at timestamp_ntz, line_no int")
+    # only findings and times of arrival are shuffled
+    last = rows.groupBy("file_id").agg(F.max("arrived_at").alias("arrived_at"))
+    return found.join(last, ["file_id", "arrived_at"], "left_semi").select("file_id", "line_no").distinct()
 
 
 def redacted_files(files: DataFrame) -> DataFrame:

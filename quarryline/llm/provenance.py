@@ -16,7 +16,7 @@ strings masked, and its masked text, with the names alone masked. From these com
 * a tool's or third party's notice at the beginning of a remark, or a folder for packages, stands in where a file is the
   only one of its kind in the corpus. Without any of them 0.999 of the files flagged in sf0.1 remain.
 
-Defined results: null and empty texts and files other than js, ts and py take no part; redelivered rows count once;
+Defined results: null and empty texts and files other than js, ts and py take no part; of redelivered rows the last counts;
 texts under MIN_SHARED shingles are too short to count as copies; further columns are ignored.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.paths import language
-from quarryline.session import checkpointed
+from quarryline.session import checkpointed, has
 
 SHINGLE, PERMUTATIONS, BANDS, ROWS, SIMILAR = 5, 128, 12, 5, 0.8
 #: Minima of a band of copies that are those of names and strings, and similarity of these that a copy has: whoever
@@ -227,7 +227,7 @@ def describe(text: str, tokens: _Tokens, python: bool) -> dict:
 
 DESCRIBED = (
     "file_id bigint, repo_id string, path string, total bigint, run bigint, names double, dense double, shingles bigint, forms bigint, own bigint, tool boolean, "
-    "notice string, text bigint, signature binary, text_bands array<bigint>, form_signature binary, form_bands array<bigint>")
+    "notice string, arrived_at timestamp_ntz, text bigint, signature binary, text_bands array<bigint>, form_signature binary, form_bands array<bigint>")
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,24 +236,24 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(tokens) > 400_000:
             tokens = _Tokens()
         rows = []
-        for file_id, repo_id, path, lang, text in zip(pdf.file_id, pdf.repo_id, pdf.path, pdf.language, pdf.text):
+        for file_id, repo_id, path, lang, at, text in zip(pdf.file_id, pdf.repo_id, pdf.path, pdf.language, pdf.arrived_at, pdf.text):
             d = describe(text, tokens, lang == "py")
             said = _remarks(text)
             notice = next((next(g for g in m.groups() if g) for r in said if (m := _NOTICE.match(r))), None)
             tool = any(_TOOL.match(r) for r in said)
             if not d["total"]:
-                rows.append((file_id, repo_id, path, 0, 0, 0.0, 0.0, 0, 0, 0, tool, notice, 0, b"", [], b"", []))
+                rows.append((file_id, repo_id, path, 0, 0, 0.0, 0.0, 0, 0, 0, tool, notice, at, 0, b"", [], b"", []))
                 continue
             sig, form, words = signature(d["own"]), signature(d["form"]), signature(d["words"])
             rows.append((
-                file_id, repo_id, path, d["total"], d["run"], d["names"], d["dense"], d["all"], len(d["form"]), len(d["own"]), tool, notice, d["text"], sketch(sig) + sketch(words),
+                file_id, repo_id, path, d["total"], d["run"], d["names"], d["dense"], d["all"], len(d["form"]), len(d["own"]), tool, notice, at, d["text"], sketch(sig) + sketch(words),
                 bands(sig, 1, words) if len(d["own"]) >= MIN_SHARED and len(d["words"]) else [], sketch(form), bands(form, 2) if len(d["form"]) >= MIN_FORM else []))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in DESCRIBED.split(", ")])
 
 
 def described(files: DataFrame) -> DataFrame:
     """One row per delivered code file with its measures, notices, signatures and band keys. No shuffle."""
-    rows = files.select("file_id", "repo_id", "path", language(F.col("path")).alias("language"), "text")
+    rows = files.select("file_id", "repo_id", "path", language(F.col("path")).alias("language"), has(files, "arrived_at", "timestamp_ntz").cast("timestamp_ntz").alias("arrived_at"), "text")
     rows = rows.where(F.col("text").isNotNull() & (F.col("text") != "") & (F.col("language") != "other") & F.col("file_id").isNotNull())
     return rows.mapInPandas(_describe, DESCRIBED)
 
@@ -383,9 +383,12 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     minified = (F.col("names") > 0) & (F.col("names") < SHORT_NAMES) & (F.col("dense") < DENSE) & (F.col("total") > MIN_CODE)
     # a family changes nothing for the others
     ask = F.coalesce(form & ~data & ~F.col("tool") & ~block & (~minified | part), F.lit(False))
-    slim = rows.drop("text", "text_bands", "form_bands").dropDuplicates(["file_id"])
+    # the last delivery of a file, of equally late ones by its text
+    cols = ["repo_id", "path", "total", "run", "names", "dense", "shingles", "forms", "own", "tool", "notice"]
+    looks = [F.xxhash64("signature").alias("_s"), F.xxhash64("form_signature").alias("_f")]
+    slim = rows.groupBy("file_id").agg(F.max_by(F.struct(*cols, *looks), F.struct("arrived_at", "text", "path")).alias("_r")).select("file_id", "_r.*")
     repo = F.xxhash64(F.coalesce("repo_id", F.lit("")))
-    slim = slim.withColumns({"_own": F.xxhash64(repo, F.xxhash64("signature")), "_form": F.xxhash64(repo, F.xxhash64("form_signature"))}).drop("signature", "form_signature")
+    slim = slim.withColumns({"_own": F.xxhash64(repo, "_s"), "_form": F.xxhash64(repo, "_f")}).drop("_s", "_f")
     copied = copies(rows).distinct().select(F.col("node").alias("_own"), F.lit(True).alias("_copied"))
     out = slim.join(copied, "_own", "left").join(families(rows, ask).withColumnRenamed("node", "_form"), "_form", "left")
     family = F.col("elsewhere").isNotNull() & (part | ~F.col("elsewhere")) & ask
