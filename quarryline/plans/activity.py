@@ -179,3 +179,54 @@ def fn_repeated_paths(spark, d):
 def fn_titles(spark, d):
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.\w+$", "")
     return table(spark, d, "source_files").select("path").distinct().select("path", X.title(stem).alias("title"))
+
+
+# ---------------------------------------------------------------- caches, keys and responses
+
+
+@query(f"WITH {LOG} SELECT phase AS cache, event_id AS key FROM log QUALIFY row_number() OVER (PARTITION BY phase ORDER BY ts DESC, event_id DESC) > 150")
+def top_o07_evicted(spark, d):
+    return J.evicted(log(spark, d).select(F.col("phase").alias("cache"), F.col("event_id").alias("key"), F.col("ts").alias("used_at")), 150)
+
+
+@query("WITH a AS (SELECT DISTINCT artifact_id, snapshot_id, kind, version FROM artifacts), h AS (SELECT DISTINCT snapshot_id, kind FROM a WHERE version <= 2) SELECT snapshot_id, kind, version, artifact_id FROM a WHERE version > 2 AND NOT EXISTS (SELECT 1 FROM h WHERE h.snapshot_id = a.snapshot_id AND h.kind = a.kind) QUALIFY row_number() OVER (PARTITION BY snapshot_id, kind ORDER BY version, artifact_id) = 1")
+def set_u05_new_only(spark, d):
+    a = table(spark, d, "artifacts").select("artifact_id", "snapshot_id", "kind", "version").distinct()
+    return J.new_only(a.where("version > 2"), a.where("version <= 2"), ["snapshot_id", "kind"], ["version", "artifact_id"])
+
+
+@query("WITH r AS (SELECT DISTINCT snapshot_id, kind FROM artifacts), p AS (SELECT DISTINCT snapshot_id, kind FROM artifacts WHERE version >= 3) SELECT r.snapshot_id, count(*) FILTER (WHERE p.kind IS NULL) = 0 AS complete, count(*) FILTER (WHERE p.kind IS NULL) AS missing FROM r LEFT JOIN p ON p.snapshot_id = r.snapshot_id AND p.kind = r.kind WHERE r.snapshot_id IS NOT NULL GROUP BY 1")
+def set_u07_complete(spark, d):
+    a = table(spark, d, "artifacts").where("snapshot_id is not null").select("snapshot_id", "kind", "version")
+    return J.lacking(a, a.where("version >= 3"), "snapshot_id", "kind")
+
+
+@query("SELECT title FROM (SELECT name AS title, repo_id FROM repos WHERE name IS NOT NULL ORDER BY repo_id LIMIT 6)")
+def proj_p20_sparse_fallback(spark, d):
+    r = table(spark, d, "repos")
+    few = r.where("name = 'no such repository'").select(F.col("name").alias("title"))
+    return S.sparse_fallback(few, r.where("name is not null").select(F.col("repo_id").alias("ord"), F.col("name").alias("title")))
+
+
+@query("SELECT repo_id AS \"repoId\", coalesce(name, 'unnamed') AS name, coalesce(owner_id, 'unknown') AS \"ownerId\" FROM repos")
+def proj_p23_response_names(spark, d):
+    return J.aliased(table(spark, d, "repos").select("repo_id", "name", "owner_id"), {"repo_id": "repoId", "owner_id": "ownerId"}, {"name": "unnamed", "owner_id": "unknown"})
+
+
+@query(f"WITH {LOG}, n AS (SELECT job_id, count(*) AS n FROM log GROUP BY 1) SELECT job_id, CAST(35 + floor(n / 20.0 * 15) AS INT) AS percent FROM n")
+def job_t11_percent(spark, d):
+    n = log(spark, d).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("job_id", J.batch_percent(F.col("n"), F.lit(20)).alias("percent"))
+
+
+@query(f"WITH {LOG}, r AS (SELECT job_id, CAST(date_diff('second', min(ts), max(ts)) AS DOUBLE) AS s FROM log GROUP BY 1) SELECT job_id, round(CASE WHEN s <= 300 THEN 1.0 ELSE greatest(0.0, 1.0 - (s - 300) / 300) END, 6) AS score FROM r")
+def agg_a10_runtime_scores(spark, d):
+    r = log(spark, d).groupBy("job_id").agg(F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")).cast("double").alias("s"))
+    return r.select("job_id", F.round(Q.runtime_score(F.col("s")), 6).alias("score"))
+
+
+@query(f"WITH {LOG} SELECT event_id, job_id, CASE WHEN phase IN ('done', 'error', 'phase', 'progress', 'artifact', 'warning') THEN phase WHEN value IS NOT NULL THEN 'progress' ELSE 'phase' END AS type FROM log")
+def job_t02_typed_events(spark, d):
+    from quarryline.streaming.events import typed
+
+    return typed(log(spark, d)).select("event_id", "job_id", "type")
