@@ -195,29 +195,30 @@ def dependencies(edges: DataFrame, cap: int = 10) -> DataFrame:
     return few.groupBy("graph_id", "src").agg(pick(F.col("resolved")).alias("internal"), pick(~F.col("resolved")).alias("external"))
 
 
-def greedy_paths(edges: DataFrame, starts: DataFrame, guard: int = 1000) -> DataFrame:
+def greedy_paths(edges: DataFrame, starts: DataFrame, guard: int = 1000, stride: int = 4) -> DataFrame:
     """From each start follow the first unvisited out-edge (least dst): (graph_id, start, step, id).
 
-    All walks advance together, one join per step; the loop ends when none moves or when a walk has
-    ``guard`` nodes, the bound of the inventory (G05). Ended walks are gathered every few steps, so the plan stays small.
+    All walks advance together, one join per step and one checkpoint for ``stride`` steps; the loop ends when none moves
+    or when a walk has ``guard`` nodes, the bound of the inventory (G05).
     """
     first = edges.where("src <> dst").select("graph_id", F.col("src").alias("at"), "dst").distinct()
-    walks = starts.select("graph_id", F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path")).distinct()
-    done = None
-    for n in range(1, guard):
-        nxt = walks.join(first, ["graph_id", "at"]).where(~F.array_contains("path", F.col("dst"))).groupBy("graph_id", "start", "path").agg(F.min("dst").alias("_to"))
-        step = walks.join(nxt, ["graph_id", "start", "path"], "left")
-        step = checkpointed(step)
-        ended = step.where("_to is null").select("graph_id", "start", "path")
+    walks = starts.select("graph_id", F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path"), F.lit(True).alias("live")).distinct()
+    done, rounds = None, 0
+    while True:
+        for _ in range(stride):
+            may = F.col("live") & (F.size("path") < guard) & ~F.array_contains("path", F.col("dst"))
+            step = walks.join(first, ["graph_id", "at"], "left").groupBy("graph_id", "start").agg(F.first("at").alias("_at"), F.first("path").alias("_path"), F.min(F.when(may, F.col("dst"))).alias("_to"))
+            moved = F.col("_to").isNotNull()
+            walks = step.select("graph_id", "start", F.coalesce("_to", "_at").alias("at"), F.when(moved, F.concat("_path", F.array("_to"))).otherwise(F.col("_path")).alias("path"), moved.alias("live"))
+        walks = checkpointed(walks)
+        rounds += 1
+        ended = walks.where("not live").select("graph_id", "start", "path")
         done = ended if done is None else done.unionByName(ended)
-        if n % 32 == 0:
-            done = checkpointed(done)
-        walks = step.where("_to is not null").select("graph_id", "start", F.col("_to").alias("at"), F.concat("path", F.array("_to")).alias("path"))
+        if rounds % 32 == 0:
+            done = checkpointed(done)  # the plan stays small
+        walks = walks.where("live")
         if walks.isEmpty():
-            break
-    else:
-        done = done.unionByName(walks.select("graph_id", "start", "path"))
-    return done.select("graph_id", "start", F.posexplode("path").alias("step", "id"))
+            return done.select("graph_id", "start", F.posexplode("path").alias("step", "id"))
 
 
 def longest_path(paths: DataFrame) -> DataFrame:
