@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.paths import directory
 from quarryline.operators.files import file_name
+from quarryline.sources.tables import latest_files
 
 # Frameworks by their packages in package.json, and by words of Python's requirement files.
 NODE = [("nextjs", "next"), ("express", "express"), ("koa", "koa"), ("nestjs", "@nestjs/core"), ("react", "react"), ("vue", "vue"), ("angular", "@angular/core")]
@@ -87,11 +88,16 @@ def packages(files: DataFrame) -> DataFrame:
     return rows.select("snapshot_id", "path", F.trim(F.trim(value), F.lit("\"'")).alias("name")).distinct()
 
 
+def required_names(text: Column) -> Column:
+    """Names at the head of requirement lines, cut at the first sign of a version. Remarks and blank lines are none."""
+    lines = F.transform(F.split(F.regexp_replace(text, "\r", ""), "\n"), lambda x: F.trim(x))
+    names = F.transform(F.filter(lines, lambda x: (x != "") & ~x.startswith("#")), lambda x: F.regexp_extract(x, r"^(.*?)(?:==|>=|<=|>|<|~=|$)", 1))
+    return F.array_distinct(F.filter(names, lambda n: n != ""))
+
+
 def dependency_names(files: DataFrame) -> DataFrame:
-    """Names at the head of requirement lines, cut at the first sign of a version: (file_id, name). Remarks and blank lines are none."""
-    line = F.explode(F.split(F.regexp_replace("text", "\r", ""), "\n"))
-    rows = files.where("text is not null").select("file_id", line.alias("line")).select("file_id", F.trim("line").alias("line")).where("line <> '' and line not like '#%'")
-    return rows.select("file_id", F.regexp_extract("line", r"^(.*?)(?:==|>=|<=|>|<|~=|$)", 1).alias("name")).where("name <> ''").distinct()
+    """What the requirement files ask for: (file_id, name). Names are told in the scan, texts are not shuffled."""
+    return latest_files(files.where("text is not null"), required_names(F.col("text")).alias("names")).select("file_id", F.explode("names").alias("name"))
 
 
 def preflight(files: DataFrame, content: DataFrame) -> DataFrame:

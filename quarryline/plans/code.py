@@ -168,10 +168,10 @@ def scan_s13_path_aliases(spark, d):
     return M.path_aliases(table(spark, d, "source_files"))
 
 
-@query(f"WITH {FILES}, l AS (SELECT file_id, trim(unnest(string_split(replace(text, chr(13), ''), chr(10)))) AS line FROM files WHERE text IS NOT NULL AND {ext_sql('path')} = '.txt') SELECT DISTINCT file_id, regexp_extract(line, '^(.*?)(?:==|>=|<=|>|<|~=|$)', 1) AS name FROM l WHERE line <> '' AND line NOT LIKE '#%' AND name <> ''")
+@query(f"WITH {FILES}, l AS (SELECT file_id, trim(unnest(string_split(replace(text, chr(13), ''), chr(10)))) AS line FROM files WHERE text IS NOT NULL AND {ext_sql('path')} IN ('.txt', '.toml', '.cfg')) SELECT DISTINCT file_id, regexp_extract(line, '^(.*?)(?:==|>=|<=|>|<|~=|$)', 1) AS name FROM l WHERE line <> '' AND line NOT LIKE '#%' AND name <> ''")
 def scan_s14_dependency_names(spark, d):
-    f = table(spark, d, "source_files").where(extension(F.col("path")) == ".txt")
-    return M.dependency_names(latest_files(f, "text"))
+    f = table(spark, d, "source_files").where(extension(F.col("path")).isin(".txt", ".toml", ".cfg"))
+    return M.dependency_names(f)
 
 
 @query(f"""WITH {FILES}, h AS (SELECT snapshot_id, path, sha256(text) AS h, string_split(path, '/')[1] AS top FROM (SELECT snapshot_id, path, any_value(text) AS text FROM source_files WHERE text IS NOT NULL GROUP BY 1, 2)), r AS (SELECT *, (row_number() OVER (PARTITION BY snapshot_id, top ORDER BY path) - 1) // 4096 AS b FROM h),
