@@ -100,5 +100,7 @@ class Names:
                 self.names.clear()
             last, before = words_of(name)
             score = self.weights[""] + self._score(last, 0) + self._score(before, 1)
+            if len(last) < 3 and last not in SECRET:
+                score = -9.0  # too short to say anything by its letters
             got = self.names[name] = 0 if score < -2 else 1 if score < 0 else 2 if score < 2 else 3
         return got

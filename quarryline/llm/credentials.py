@@ -65,6 +65,9 @@ _ODD_CASE = re.compile(r"[a-z][A-Z](?![A-Za-z])|[A-Z]{2}[a-z]{1,2}(?![A-Za-z])|[
 _CAMEL_NAME = re.compile(r"[\w$]*(?:ID|URL|API|JSON|HTML|IDs|URLs|APIs)[\w$]*")
 #: Calls that take a name and a password.
 _LOGIN = re.compile(r"(?i)connect|login|log_?in|auth|sign_?in|credential|session")
+#: Encoded data that goes on to the left or right of a place.
+_MEMBER = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+")
+_BLOB_BEFORE, _BLOB_AFTER = re.compile(r"[A-Za-z0-9+/]{24,}[/+]$"), re.compile(r"[/+][A-Za-z0-9+/]{24,}")
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 
@@ -417,6 +420,10 @@ def fit(lines: list[tuple[str, list[tuple[int, int]]]], rounds: int = 90, penalt
         toks = contexts(line, naming)
         seqs.append([[names.setdefault(f, len(names)) for f in features(e)] for _, _, e in toks])
         golds.append([any(a >= x and b <= y for x, y in spans) or any(a < y and b > x for x, y in spans if "PRIVATE KEY" in line[x:y]) for a, b, _ in toks])
+    # longest first, so that each step goes over those lines only that are as long
+    order = [i for i in sorted(range(len(seqs)), key=lambda i: -len(seqs[i])) if seqs[i]]
+    seqs, golds = [seqs[i] for i in order], [golds[i] for i in order]
+    ends = np.array([len(s) - 1 for s in seqs])
     n, t, k = len(seqs), max(map(len, seqs)), len(features(("",) * 14))
     ids, mask, gold = np.zeros((n, t, k), np.int32), np.zeros((n, t), bool), np.zeros((n, t), bool)
     for i, (s, g) in enumerate(zip(seqs, golds)):
@@ -426,6 +433,7 @@ def fit(lines: list[tuple[str, list[tuple[int, int]]]], rounds: int = 90, penalt
     theta, trans = np.zeros(len(names)), np.zeros((2, 2))
     m1, m2 = np.zeros(len(names) + 4), np.zeros(len(names) + 4)
     both = mask[:, 1:]
+    held = mask.sum(0)  # lines with a token at each place
     want_t = np.zeros((2, 2))
     for a in (0, 1):
         for b in (0, 1):
@@ -438,17 +446,17 @@ def fit(lines: list[tuple[str, list[tuple[int, int]]]], rounds: int = 90, penalt
         fwd = np.zeros((n, t, 2))
         fwd[:, 0] = emit[:, 0]
         for j in range(1, t):
-            step = np.logaddexp(fwd[:, j - 1, 0, None] + trans[0], fwd[:, j - 1, 1, None] + trans[1]) + emit[:, j]
-            fwd[:, j] = np.where(mask[:, j, None], step, fwd[:, j - 1])
-        z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
+            c = held[j]
+            fwd[:c, j] = np.logaddexp(fwd[:c, j - 1, 0, None] + trans[0], fwd[:c, j - 1, 1, None] + trans[1]) + emit[:c, j]
+        last = fwd[np.arange(n), ends]
+        z = np.logaddexp(last[:, 0], last[:, 1])
         bwd = np.zeros((n, t, 2))
         grad_t = want_t.copy()
         for j in range(t - 2, -1, -1):
-            nxt = emit[:, j + 1] + bwd[:, j + 1]
-            step = np.logaddexp(trans[:, 0] + nxt[:, 0, None], trans[:, 1] + nxt[:, 1, None])
-            bwd[:, j] = np.where(both[:, j, None], step, 0)
-            pair = np.exp(fwd[:, j, :, None] + trans + nxt[:, None, :] - z[:, None, None])
-            grad_t -= (pair * both[:, j, None, None]).sum(0)
+            c = held[j + 1]
+            nxt = emit[:c, j + 1] + bwd[:c, j + 1]
+            bwd[:c, j] = np.logaddexp(trans[:, 0] + nxt[:, 0, None], trans[:, 1] + nxt[:, 1, None])
+            grad_t -= np.exp(fwd[:c, j, :, None] + trans + nxt[:, None, :] - z[:c, None, None]).sum(0)
         p = np.exp(fwd[..., 1] + bwd[..., 1] - z[:, None])
         diff = (gold - p)[mask]
         grad = np.bincount(flat.ravel(), np.repeat(diff, k), len(names))
@@ -571,6 +579,10 @@ def credential_spans(text: str, field: Field) -> list[tuple[int, int, bool]]:
             bare = line[a:b].strip("\"'` ,;")
             if len(bare) < 2 or bare.lower() in PLACEHOLDERS or _MASKED.fullmatch(bare):
                 continue
+            if "://" not in line and (_BLOB_BEFORE.search(line, max(0, a - 80), a) or _BLOB_AFTER.match(line, b)):
+                continue  # a part of a longer run of encoded data
+            if _MEMBER.fullmatch(bare) and line[a - 1 : a] not in ("'", '"', "`") and text[start + b : start + b + 1] in tuple(";,)]}"):
+                continue  # the member of a variable, in code
             out.append((start + a, start + b, True))
     return out
 
