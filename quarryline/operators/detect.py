@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.paths import language
@@ -107,8 +107,8 @@ def detect(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 def express_routes(files: DataFrame) -> DataFrame:
     """Routes of calls; literals that look like routes count only in files without any such call."""
     found = detect(files, [r for r in ROUTES if r.detector == "express"] + LITERAL_ROUTES)
-    sure = found.where("detector = 'express'")
-    return sure.unionByName(found.where("detector = 'literal'").join(sure.select("file_id").distinct(), "file_id", "left_anti").select(*sure.columns))
+    called = F.max(F.col("detector") == "express").over(Window.partitionBy("file_id"))
+    return found.withColumn("_called", called).where("detector = 'express' or not _called").drop("_called")
 
 
 # ---------------------------------------------------------------- routes that paths declare

@@ -128,7 +128,8 @@ def _of_function(node: ast.FunctionDef | ast.AsyncFunctionDef) -> Iterator[tuple
 def read(text: str) -> Iterator[tuple]:
     """(item, name, line, detail, fields) of a text; nothing where it does not parse."""
     tree = ast.parse(text)
-    classes = {n.name: [_name(b) for b in n.bases] for n in ast.walk(tree) if isinstance(n, ast.ClassDef)}
+    nodes = [n for n in ast.walk(tree) if isinstance(n, (ast.ClassDef, ast.Call))]
+    classes = {n.name: [_name(b) for b in n.bases] for n in nodes if isinstance(n, ast.ClassDef)}
     models = _closed(classes, lambda b: "BaseModel" in b or "BaseSettings" in b)
     if doc := ast.get_docstring(tree):
         yield "summary", doc.strip().split("\n")[0], 1, "docstring", None
@@ -139,10 +140,10 @@ def read(text: str) -> Iterator[tuple]:
             yield "import", "." * node.level + (node.module or ""), node.lineno, ",".join(a.name for a in node.names), None
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             yield from _of_function(node)
-    for node in ast.walk(tree):
+    for node in nodes:
         if isinstance(node, ast.ClassDef):
             yield from _of_class(node, models)
-        elif isinstance(node, ast.Call) and _name(node.func) == "add_middleware" and node.args:
+        elif _name(node.func) == "add_middleware" and node.args:
             words = {k.arg: k.value for k in node.keywords}
             yield "policy", _name(node.args[0]), node.lineno, "cors:" + ast.unparse(words["allow_origins"]) if "allow_origins" in words else "middleware", None
 
