@@ -85,7 +85,6 @@ def best_summaries(files: DataFrame, summaries: DataFrame) -> DataFrame:
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     f = files.select("path", name.alias("_name"), F.substring_index(name, ".", 1).alias("_stem")).distinct()
     s = summaries.where("title <> '' and purpose <> ''").select("id", F.lower("title").alias("_t"), F.lower(F.concat("purpose", F.coalesce("detail", F.lit("")))).alias("_x"))
-    s = s.withColumn("_c", F.lower(F.col("_t")))
     # every part of a title or text that a stem could be: runs of signs of names, cut at each place where one may begin
     grams = lambda c: F.regexp_extract_all(c, F.lit(r"[a-z0-9_.$@\[\]()+-]+"), F.lit(0))
     ends = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, F.length(w)))
@@ -95,7 +94,8 @@ def best_summaries(files: DataFrame, summaries: DataFrame) -> DataFrame:
     keyed = tails.where(F.length("_w") >= least).select("id", F.substring("_w", 1, least).alias("_k"), "_w")
     long_ = f.where(F.length("_stem") >= least).withColumn("_k", F.substring("_stem", 1, least))
     near = long_.join(keyed, "_k").where(F.startswith("_w", "_stem")).select("path", "_name", "_stem", "id").distinct()
-    short = f.where((F.length("_stem") < least) & (F.length("_stem") > 0)).join(tails.select("id", "_w"), F.startswith("_w", "_stem")).select("path", "_name", "_stem", "id").distinct()
+    heads = tails.select("id", F.explode(F.array(*[F.substring("_w", 1, n) for n in range(1, least)])).alias("_stem")).distinct()
+    short = f.where((F.length("_stem") < least) & (F.length("_stem") > 0)).join(heads, "_stem").select("path", "_name", "_stem", "id").distinct()
     pairs = near.unionByName(short).join(s, "id")
     has = lambda c, w: F.contains(c, w if isinstance(w, Column) else F.lit(w))
     any_word = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.concat("_t", "_x"), w)) if words else F.lit(False)
